@@ -66,6 +66,16 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
 
 
+#: Rows of a side that is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def among(df: DataFrame, ids: DataFrame, by: str = "doc_id") -> DataFrame:
+    """The rows of df whose id is in ids, without a shuffle of df where ids are few enough."""
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(ids) if few else ids, by, "left_semi")
+
+
 # ---------------------------------------------------------------- chunks
 
 

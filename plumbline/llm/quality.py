@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import U64, Table, chunks, column, code_points, documents, labels, looked_up, mixed, tables
+from plumbline.llm.common import U64, Table, among, chunks, column, code_points, documents, labels, looked_up, mixed, tables
 
 ORDER = 5
 #: The band reaches from the least to the greatest usual log perplexity (the QUANTILE and 1 - QUANTILE
@@ -208,7 +208,7 @@ def trained(docs: DataFrame, marks: DataFrame, order: int = ORDER) -> tuple[dict
     from all documents that marks (doc_id, quality) rates 1; of a language that has
     none, from all its documents."""
     good = marks.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rated = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL").join(good, "doc_id", "left_semi")
+    rated = among(docs.select("doc_id", "lang", "text").where("lang IS NOT NULL"), good)
     langs = {x.lang for x in docs.select("lang").where("lang IS NOT NULL").distinct().collect()}
     without = langs - {x.lang for x in rated.select("lang").distinct().collect()}
     train = rated
