@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 OPERATORS = {
     "op5_quality_rules": "quality",
+    "op8_minhash_near_dedup": "neardup",
 }
 
 
