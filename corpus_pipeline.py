@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import neardup, quality
+from plumbline.llm import decontam, mix, neardup, quality, shard
 from plumbline.llm.common import documents, labels, stored
 
 
@@ -18,9 +18,27 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return neardup.deduplicated(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The largest mix that the target weights allow."""
+    return mix.mixture(docs)
+
+
+def uniform_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All of them in random order, with shard and position."""
+    return shard.sharded(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mix", source_mix),
+    ("uniform_shards", uniform_shards),
 ]
 
 #: SQL can't express the language model, the sketches or the random permutation.

@@ -6,6 +6,9 @@ import importlib
 from collections.abc import Callable
 
 OPERATORS = {
+    "op1_source_mix": "mix",
+    "op2_uniform_shards": "shard",
+    "op4_benchmark_decontamination": "decontam",
     "op5_quality_rules": "quality",
     "op8_minhash_near_dedup": "neardup",
 }
