@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1_500_000
+CHUNK = 600_000
 TABLE = 0x20000
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C55)
@@ -171,6 +171,11 @@ class Words:
         self.text = np.searchsorted(at, self.start, "right") - 1
         self.first = np.searchsorted(self.start, at)
 
+    @staticmethod
+    def points(texts: list[str]) -> np.ndarray:
+        """The code points that start and end count in, as they are."""
+        return code_points(texts)[0]
+
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of n words within a text, and the index of their first word."""
         size = len(self.hash) - n + 1

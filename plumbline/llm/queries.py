@@ -10,7 +10,9 @@ OPERATORS = {
     "op2_uniform_shards": "shard",
     "op4_benchmark_decontamination": "decontam",
     "op5_quality_rules": "quality",
+    "op7_language_id": "langid",
     "op8_minhash_near_dedup": "neardup",
+    "op9_lm_scoring": "lmscore",
 }
 
 
