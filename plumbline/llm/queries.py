@@ -8,11 +8,14 @@ from collections.abc import Callable
 OPERATORS = {
     "op1_source_mix": "mix",
     "op2_uniform_shards": "shard",
+    "op3_html_wrappers": "html",
     "op4_benchmark_decontamination": "decontam",
     "op5_quality_rules": "quality",
+    "op6_toxicity": "toxicity",
     "op7_language_id": "langid",
     "op8_minhash_near_dedup": "neardup",
     "op9_lm_scoring": "lmscore",
+    "op10_license_scan": "license",
 }
 
 
