@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import chunks, column, documents
-from plumbline.llm.lattice import VOCABULARY, Vocabulary, re_estimated, with_unknown, word_counts, word_scores
+from plumbline.llm.lattice import VOCABULARY, Memo, Vocabulary, re_estimated, with_unknown, word_counts, word_scores
 
 SAMPLE, STEPS = 1000, 2
 ORACLE_SQL = None
@@ -51,13 +51,14 @@ def identified(docs: DataFrame, models: dict[str, np.ndarray], path: str = VOCAB
         path, models = held.value
         names = sorted(models)
         vocabulary, log_ps = Vocabulary(path).open(), [with_unknown(models[k]) for k in names]
+        memo = Memo()
         for batch in batches:
             size = batch.num_rows
             best, p, margin = np.full(size, -1), np.full(size, np.nan), np.full(size, np.nan)
             for first, texts in chunks(column(batch, "text").to_pylist()):
                 if not names:
                     break
-                scores, letters = word_scores(vocabulary, texts, log_ps)
+                scores, letters = word_scores(vocabulary, texts, log_ps, memo)
                 some = np.flatnonzero(letters)
                 rate = scores[some] / letters[some, None]
                 win = rate.argmax(1)

@@ -131,18 +131,54 @@ def cut_words(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return start, end, np.where(parts[which] > 1, mixed(w.hash[which] + part.astype(np.uint64) + U64(1)), w.hash[which]), w.text[which]
 
 
-def word_scores(vocabulary: Vocabulary, texts: list[str], log_ps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, len(log_ps)) log probabilities of the texts, and the characters scored, a mark for each word included."""
+class Memo:
+    """Scores of words by hash, in sorted tables of doubling sizes; emptied when MOST words are in it."""
+
+    MOST = 1_000_000
+
+    def __init__(self):
+        self.levels: list[tuple[Table, np.ndarray]] = []
+
+    def get(self, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(width, words) scores, and the indices of words that have none here."""
+        out = np.empty((width, len(h)))
+        rest = np.arange(len(h))
+        for table, values in self.levels:
+            at = table.at(h[rest])
+            hit = at >= 0
+            out[:, rest[hit]] = values[:, at[hit]]
+            rest = rest[~hit]
+        return out, rest
+
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Sorted hashes that are not in it yet."""
+        if not len(h):
+            return
+        if sum(len(t.keys) for t, _ in self.levels) > self.MOST:
+            self.levels = []
+        while self.levels and len(self.levels[-1][0].keys) < 2 * len(h):
+            table, own = self.levels.pop()
+            h, values = np.concatenate([table.keys, h]), np.concatenate([own, values], 1)
+            order = np.argsort(h, kind="stable")
+            h, values = h[order], values[:, order]
+        self.levels.append((Table(h), values))
+
+
+def word_scores(vocabulary: Vocabulary, texts: list[str], log_ps: list[np.ndarray], memo: Memo | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, len(log_ps)) log probabilities of the texts, and the characters scored, a
+    mark for each word included. memo: of earlier calls with the same log_ps."""
     start, end, h, text = cut_words(Words(texts, raw=True))
     out = np.zeros((len(texts), len(log_ps)))
     letters = np.bincount(text, end - start + 1, len(texts)).astype(np.int64)
     if len(h):
         cp = Words.points(texts)
-        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        values = np.empty((len(log_ps), len(first)))
-        for own, group in groups(vocabulary, cp, start[first], end[first]):
+        memo = memo or Memo()
+        unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        values, new = memo.get(unique, len(log_ps))
+        for own, group in groups(vocabulary, cp, start[first[new]], end[first[new]]):
             for k, log_p in enumerate(log_ps):
-                values[k, own] = group.forward(log_p)[-1]
+                values[k, new[own]] = group.forward(log_p)[-1]
+        memo.add(unique[new], values[:, new])
         for k in range(len(log_ps)):
             out[:, k] = np.bincount(text, values[k][inverse], len(texts))
     return out, letters

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import chunks, column, documents, stored
-from plumbline.llm.lattice import VOCABULARY, Vocabulary, re_estimated, with_unknown, word_counts, word_scores
+from plumbline.llm.lattice import VOCABULARY, Memo, Vocabulary, re_estimated, with_unknown, word_counts, word_scores
 
 ORACLE_SQL = None
 
@@ -38,10 +38,11 @@ def scored(docs: DataFrame, log_p: np.ndarray, path: str = VOCABULARY) -> DataFr
     def score(batches):
         path, log_p = held.value
         vocabulary, log_p = Vocabulary(path).open(), with_unknown(log_p)
+        memo = Memo()
         for batch in batches:
             total, chars = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for first, texts in chunks(column(batch, "text").to_pylist()):
-                scores, letters = word_scores(vocabulary, texts, [log_p])
+                scores, letters = word_scores(vocabulary, texts, [log_p], memo)
                 total[first : first + len(texts)], chars[first : first + len(texts)] = scores[:, 0], letters
             with np.errstate(all="ignore"):
                 bits = np.where(chars > 0, -total / np.log(2) / chars, np.nan)
