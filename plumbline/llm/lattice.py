@@ -65,27 +65,34 @@ class Group:
         up, down = powers(self.length + 1)
         sums = np.zeros((self.length + 1, self.n), np.uint64)
         np.cumsum(((letters.astype(np.uint64) + U64(1)) * up[: self.length]).T, axis=0, out=sums[1:])
-        self.edges: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        for j in range(1, self.length + 1):
-            for i in range(max(0, j - vocabulary.longest), j):
-                found = vocabulary.table.at(mixed((sums[j] - sums[i]) * down[i]))
-                some = np.flatnonzero(found >= 0)
-                if i == j - 1 and len(some) < self.n:
-                    some, found = np.arange(self.n), found
-                if len(some):
-                    self.edges.append((i, j, some, found[some]))
+        by_end: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(self.length + 1)]
+        for size in range(1, min(vocabulary.longest, self.length) + 1):
+            h = (sums[size:] - sums[:-size]) * down[: self.length - size + 1, None]
+            found = vocabulary.table.at(mixed(h.ravel())).reshape(h.shape)
+            # every letter is an edge, if an unknown one; its id is then -1
+            row, word = np.nonzero(found >= 0) if size > 1 else (np.repeat(np.arange(self.length), self.n), np.tile(np.arange(self.n), self.length))
+            ids = found[row, word]
+            cut = np.searchsorted(row, np.arange(self.length - size + 2))
+            for i, (x, y) in enumerate(zip(cut.tolist(), cut[1:].tolist(), strict=False)):
+                if y > x:
+                    by_end[i + size].append((i, word[x:y], ids[x:y]))
+        self.edges = [(i, j, some, ids) for j, own in enumerate(by_end) for i, some, ids in own]
 
     def forward(self, log_p: np.ndarray) -> np.ndarray:
-        """alpha[j]: log of the sum over all segmentations of the first j letters; log_p has the unknown's at its end."""
-        alpha = np.full((self.length + 1, self.n), -np.inf)
+        """alpha[j]: log of the sum over all segmentations of the first j letters, for
+        each row of log_p, which has the unknown's at its end."""
+        alpha = np.full((self.length + 1, log_p.shape[0], self.n), -np.inf)
         alpha[0] = 0
         for i, j, some, ids in self.edges:
-            alpha[j, some] = np.logaddexp(alpha[j, some], alpha[i, some] + log_p[ids])
+            if len(some) == self.n:
+                np.logaddexp(alpha[j], alpha[i] + log_p[:, ids], out=alpha[j])
+            else:
+                alpha[j][:, some] = np.logaddexp(alpha[j][:, some], alpha[i][:, some] + log_p[:, ids])
         return alpha
 
     def counts(self, log_p: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected number of times that each piece is used, over words that occur times often."""
-        alpha = self.forward(log_p)
+        alpha = self.forward(log_p[None])[:, 0]
         beta = np.full((self.length + 1, self.n), -np.inf)
         beta[-1] = 0
         for i, j, some, ids in reversed(self.edges):
@@ -172,12 +179,11 @@ def word_scores(vocabulary: Vocabulary, texts: list[str], log_ps: list[np.ndarra
     letters = np.bincount(text, end - start + 1, len(texts)).astype(np.int64)
     if len(h):
         cp = Words.points(texts)
-        memo = memo or Memo()
+        memo, log_p = memo or Memo(), np.stack(log_ps)
         unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         values, new = memo.get(unique, len(log_ps))
         for own, group in groups(vocabulary, cp, start[first[new]], end[first[new]]):
-            for k, log_p in enumerate(log_ps):
-                values[k, new[own]] = group.forward(log_p)[-1]
+            values[:, new[own]] = group.forward(log_p)[-1]
         memo.add(unique[new], values[:, new])
         for k in range(len(log_ps)):
             out[:, k] = np.bincount(text, values[k][inverse], len(texts))
