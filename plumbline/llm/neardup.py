@@ -25,9 +25,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType
 
 from plumbline.llm.common import U64, Words, chunks, column, documents, free_name, mixed, stored
 
@@ -35,6 +35,8 @@ GRAM = 3
 REGISTERS, ROWS = 128, 4
 B, A, TOP = 1.001, 20.0, 65534
 THRESHOLD = 0.5
+#: Keys of eight bytes that are sent to every executor at most.
+KEYS = 8_000_000
 #: Pairs are verified from this much under the threshold on: four deviations of the estimate.
 MARGIN = 0.18
 ORACLE_SQL = None
@@ -174,6 +176,28 @@ def exact_jaccard(one: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series([of(x, y) for x, y in zip(one, other, strict=True)], dtype=float)
 
 
+def node_key(node: Column) -> Column:
+    return F.xxhash64(node["doc_id"], node["h"])
+
+
+def members(keys: DataFrame, most: int = KEYS):
+    """A function that tells whether a key may be among keys (wrong about once in 2**40),
+    with which rows are sorted out before a join; None for more than most keys, which
+    are not to be sent to every executor."""
+    spark = keys.sparkSession
+    if keys.limit(most + 1).count() > most:
+        return None
+    held = spark.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy()))
+
+    @F.pandas_udf(BooleanType())
+    def maybe(key: pd.Series) -> pd.Series:
+        all_, own = held.value, key.to_numpy()
+        at = np.searchsorted(all_, own)
+        return pd.Series(np.r_[all_, 0][at] == own if len(all_) else np.zeros(len(own), bool)) & (at < len(all_))
+
+    return maybe
+
+
 def verified(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(copies, pairs): (a, b) of documents with the same words, and (a, b, estimate,
     jaccard) of others at the threshold or over it. A document is struct(doc_id, h)."""
@@ -192,7 +216,9 @@ def verified(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) ->
     close = stored(judged.where(F.col("estimate") >= threshold - MARGIN).select("a", "b", "estimate"))
     need = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
     hashed = docs.where("text IS NOT NULL").select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("node"), "text")
-    elements = stored(hashed.join(need, hashed.node.eqNullSafe(need.node), "left_semi").groupBy("node").agg(F.first("text").alias("text")).select("node", element_sets("text").alias("set")))
+    maybe = members(need.select(node_key(F.col("node")).alias("key")))
+    some = hashed if maybe is None else hashed.where(maybe(node_key(F.col("node"))))
+    elements = stored(some.join(need, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).select("node", element_sets("text").alias("set")))
     side = lambda x: elements.select(F.col("node").alias(x), F.col("set").alias(f"set{x}"))
     exact = close.join(side("a"), "a").join(side("b"), "b").withColumn("jaccard", exact_jaccard("seta", "setb"))
     return copies, exact.where(F.col("jaccard") >= threshold).select("a", "b", "estimate", "jaccard")
@@ -228,15 +254,13 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each group, with docs' own columns. A join carries the ids of
-    the copies, not the groups; repeated rows of a document are put together where
-    there are any."""
-    gone = copies_of(docs, threshold).select("node")
+    """One document of each group, with docs' own columns, and one row of each document.
+    Only rows that may be copies or repeated are shuffled, unless those are very many."""
+    gone = stored(copies_of(docs, threshold).select("node"))
     name = free_name(docs, "node")
     keyed = docs.withColumn(name, F.when(F.col("text").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("h"))))
-    kept = keyed.join(gone.withColumnRenamed("node", "__gone"), F.col(name) == F.col("__gone"), "left_anti")
-    again = stored(keyed.where(F.col(name).isNotNull()).groupBy(name).count().where("count > 1").select(F.col(name).alias("__again")))
-    if again.isEmpty():
-        return kept.drop(name)
-    repeated = kept.join(again, F.col(name) == F.col("__again"), "left_semi").dropDuplicates([name])
-    return kept.join(again, F.col(name) == F.col("__again"), "left_anti").unionByName(repeated).drop(name)
+    again = stored(keyed.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("node")).count().where("count > 1").select("node"))
+    maybe = members(gone.union(again).distinct().select(node_key(F.col("node")).alias("key")))
+    flag = F.col(name).isNotNull() & (F.lit(True) if maybe is None else maybe(node_key(F.col(name))))
+    doubtful = keyed.where(flag).join(gone.select(F.col("node").alias("__gone")), F.col(name) == F.col("__gone"), "left_anti")
+    return keyed.where(~flag).unionByName(doubtful.dropDuplicates([name])).drop(name)
