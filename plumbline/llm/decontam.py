@@ -86,6 +86,23 @@ def best_window(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[k]), k
 
 
+def best_part(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """Least edit distance of item to any part of text, and that part's start and length:
+    of parts as near, one that ends first and is shortest."""
+    n = len(text)
+    index = np.arange(n + 1)
+    step = n + 1
+    key = n - index  # edits * step + n - start
+    for x in item:
+        new = np.empty_like(key)
+        new[0] = key[0] + step
+        new[1:] = np.minimum(key[1:] + step, key[:-1] + np.where(text == x, 0, step))
+        key = np.minimum.accumulate(new - index * step) + index * step
+    end = int(np.argmin(key // step))
+    start = n - int(key[end] % step)
+    return int(key[end] // step), start, end - start
+
+
 class Index:
     """The items by run hash and by walk signature."""
 
@@ -229,6 +246,11 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, in
         distance, size = best_window(index.words[i], w.hash[start : min(start + int(n[at]) + k, int(end[at]))])
         if distance <= k:
             text = int(w.text[start])
+            if distance:
+                # the best window may be one beside it
+                low = max(start - k, int(w.first[text]))
+                distance, at_, size = best_part(index.words[i], w.hash[low : min(start + int(n[at]) + 2 * k, int(end[at]))])
+                start = low + at_
             new = (distance, start - int(w.first[text]), size)
             best[text, i] = min(best.get((text, i), new), new)
     return [(t, i, *x) for (t, i), x in best.items()]

@@ -116,9 +116,9 @@ def mixed_in(docs: DataFrame, weights: dict[str, int] | None = None, default: in
 def mixture(docs: DataFrame, weights: dict[str, int] | None = None, default: int = DEFAULT_WEIGHT) -> DataFrame:
     """The rows of docs of the largest mix, with docs' own columns; texts are not shuffled."""
     limits = thresholds(counted(docs), WEIGHTS if weights is None else weights, default, LEVELS).where(F.col("level") == LEVELS)
-    limits = stored(limits.select(F.col("source").alias("__source"), F.col("last").alias("__last")), 1)
-    joined = docs.join(limits, F.col("source").eqNullSafe(F.col("__source")) & (place(F.col("doc_id")) <= F.col("__last")), "left_semi")
-    return joined
+    of, last = free_name(docs, "__source"), free_name(docs, "__last")
+    limits = stored(limits.select(F.col("source").alias(of), F.col("last").alias(last)), 1)
+    return docs.join(limits, F.col("source").eqNullSafe(F.col(of)) & (place(F.col("doc_id")) <= F.col(last)), "left_semi")
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,10 +257,10 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each group, with docs' own columns, and one row of each document.
     Only rows that may be copies or repeated are shuffled, unless those are very many."""
     gone = stored(copies_of(docs, threshold).select("node"))
-    name = free_name(docs, "node")
+    name, other = free_name(docs, "node"), free_name(docs, "gone")
     keyed = docs.withColumn(name, F.when(F.col("text").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("h"))))
     again = stored(keyed.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("node")).count().where("count > 1").select("node"))
     maybe = members(gone.union(again).distinct().select(node_key(F.col("node")).alias("key")))
     flag = F.col(name).isNotNull() & (F.lit(True) if maybe is None else maybe(node_key(F.col(name))))
-    doubtful = keyed.where(flag).join(gone.select(F.col("node").alias("__gone")), F.col(name) == F.col("__gone"), "left_anti")
+    doubtful = keyed.where(flag).join(gone.select(F.col("node").alias(other)), F.col(name) == F.col(other), "left_anti")
     return keyed.where(~flag).unionByName(doubtful.dropDuplicates([name])).drop(name)

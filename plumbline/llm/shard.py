@@ -104,16 +104,17 @@ class Matrix:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with __file and __row, which only a stored table has: one that isn't is written first."""
-    try:
-        scan = docs._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LogicalRelation"
-        out = docs.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    except AnalysisException:
-        scan = False
-    if not scan:
-        docs = stored(docs)
-        out = docs.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return out
+    """docs, its columns named c0, c1 ..., with __file and __row, which only a stored
+    table has: one that isn't is written first."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    place = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    clash = any(c.lower() in ("_metadata", "__file", "__row") for c in docs.columns)
+    if not clash and docs._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return docs.select("*", *place).toDF(*names, "__file", "__row")
+        except AnalysisException:  # a relation without such columns
+            pass
+    return stored(docs.toDF(*names)).select("*", *place)
 
 
 def sharded(docs: DataFrame, shards: int | None = None, rows_a_shard: int = ROWS_A_SHARD, seed: int = SEED) -> DataFrame:
@@ -151,9 +152,10 @@ def sharded(docs: DataFrame, shards: int | None = None, rows_a_shard: int = ROWS
             yield pd.DataFrame({"shard": shard, "key": key})
 
     out = rows.withColumn("__to", label("__file", "__row"))
-    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__to.shard").alias("__shard"), F.col("__to.key").alias("__key"), "__file", "__row")
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    out = out.select(*own, F.col("__to.shard").alias("__shard"), F.col("__to.key").alias("__key"), "__file", "__row")
     at = F.row_number().over(Window.partitionBy("__shard").orderBy("__key", "__file", "__row")) - 1
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__shard").alias(names[0]), at.alias(names[1]))
+    return out.select(*own, "__shard", at.alias("__at")).toDF(*docs.columns, *names)
 
 
 def op2_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
