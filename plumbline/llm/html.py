@@ -214,9 +214,16 @@ def inferred(streams: list[tuple[str, dict[int, tuple[int, int]]]], groups: dict
                     items += wrapper[a:b]
                     continue
                 if b > a:
-                    options += 1
+                    # a part of an optional group that is left out by itself becomes one of its own
+                    split: dict[int, int] = {}
+                    for x in wrapper[a:b]:
+                        if x.option not in split:
+                            whole = x.option and all(y in wrapper[a:b] for y in wrapper if y.option == x.option)
+                            if not whole:
+                                options += 1
+                            split[x.option] = x.option if whole else options
                     for x in wrapper[a:b]:
-                        x.option = x.option or options
+                        x.option = split[x.option]
                     new += wrapper[a:b]
                 if d > c:
                     options += 1

@@ -111,6 +111,8 @@ def with_unknown(log_p: np.ndarray) -> np.ndarray:
 def groups(vocabulary: Vocabulary, cp: np.ndarray, start: np.ndarray, end: np.ndarray):
     """(indices of words, Group) for every length, in portions that bound the memory."""
     size = end - start
+    if not len(size):
+        return
     order = np.argsort(size, kind="stable")
     cut = np.flatnonzero(np.r_[True, np.diff(size[order]) > 0, True])
     for a, b in zip(cut, cut[1:], strict=False):
