@@ -76,6 +76,18 @@ def among(df: DataFrame, ids: DataFrame, by: str = "doc_id") -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, by, "left_semi")
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded by bytes, not by rows alone:
+    some texts are a thousand times as long as others. A bound set by hand stays."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH, None) in (None, "256MB", "268435456", "268435456b", "9223372036854775807", "-1"):
+        spark.conf.set(BATCH, "8m")
+    return df
+
+
 # ---------------------------------------------------------------- chunks
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import U64, Table, Words, chunks, column, documents, mixed
+from plumbline.llm.common import U64, Table, Words, bounded, chunks, column, documents, mixed
 
 EDITS, LEAST = 0.2, 8
 BITS, RECALL = 3, 0.97
@@ -272,7 +272,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array([first + x for x in t])), pa.array([index.ids[x] for x in i]), pa.array(edits, pa.int32()), pa.array(at, pa.int32()), pa.array(size, pa.int32())], ["doc_id", "item_id", "edits", "first_word", "words"])
 
     rows = docs.where("text IS NOT NULL").select("doc_id", "text")
-    return rows.mapInArrow(search, f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, first_word int, words int")
+    return bounded(rows).mapInArrow(search, f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, first_word int, words int")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     out[first + t] = False
             yield pd.Series(out)
 
-    return docs.where(passes("text"))
+    return bounded(docs).where(passes("text"))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BROADCAST_ROWS, column, stored
+from plumbline.llm.common import BROADCAST_ROWS, bounded, column, stored
 
 ORACLE_SQL = None
 TEXT = "#"
@@ -162,7 +162,7 @@ def parsed(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "page_id"), *[pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]], ["page_id", "host", "stream", "names", "groups", "texts", "slots"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(parse, f"page_id {kind}, host string, stream string, names string, groups string, texts array<string>, slots array<int>")
+    return bounded(pages).select("page_id", "url", "html").mapInArrow(parse, f"page_id {kind}, host string, stream string, names string, groups string, texts array<string>, slots array<int>")
 
 
 class Item:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import chunks, column, documents
+from plumbline.llm.common import bounded, chunks, column, documents
 from plumbline.llm.lattice import VOCABULARY, Memo, Vocabulary, re_estimated, with_unknown, word_counts, word_scores
 
 SAMPLE, STEPS = 1000, 2
@@ -70,7 +70,7 @@ def identified(docs: DataFrame, models: dict[str, np.ndarray], path: str = VOCAB
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "lang"), predicted, pa.array(p, from_pandas=True), pa.array(margin, from_pandas=True)], ["doc_id", "lang", "predicted", "log_p", "margin"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "lang", "text").mapInArrow(score, f"doc_id {kind}, lang string, predicted string, log_p double, margin double")
+    return bounded(docs).select("doc_id", "lang", "text").mapInArrow(score, f"doc_id {kind}, lang string, predicted string, log_p double, margin double")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

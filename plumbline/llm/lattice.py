@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import _BASE, U64, Table, Words, chunks, column, mixed, powers
+from plumbline.llm.common import U64, _BASE, Table, Words, bounded, chunks, column, mixed, powers
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LONGEST = "▁", 200
@@ -208,7 +208,7 @@ def word_counts(rows: DataFrame, key: str) -> DataFrame:
                     words = [flat[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(n.astype(np.int64))], [key, "word", "n"])
 
-    return rows.where("text IS NOT NULL").select(key, "text").mapInArrow(count, f"{key} string, word string, n long").groupBy(key, "word").agg(F.sum("n").alias("n"))
+    return bounded(rows).where("text IS NOT NULL").select(key, "text").mapInArrow(count, f"{key} string, word string, n long").groupBy(key, "word").agg(F.sum("n").alias("n"))
 
 
 def re_estimated(words: DataFrame, key: str, path: str, start: dict[str, np.ndarray], prior: float = 100.0) -> dict[str, np.ndarray]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import chunks, column, documents, stored
+from plumbline.llm.common import bounded, chunks, column, documents, stored
 from plumbline.llm.lattice import VOCABULARY, Memo, Vocabulary, re_estimated, with_unknown, word_counts, word_scores
 
 ORACLE_SQL = None
@@ -50,7 +50,7 @@ def scored(docs: DataFrame, log_p: np.ndarray, path: str = VOCABULARY) -> DataFr
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(total, from_pandas=True), pa.array(chars), pa.array(bits, from_pandas=True)], ["doc_id", "log_p", "chars", "bits_per_char"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, log_p double, chars long, bits_per_char double")
+    return bounded(docs).select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, log_p double, chars long, bits_per_char double")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

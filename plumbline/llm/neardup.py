@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType
 
-from plumbline.llm.common import U64, Words, chunks, column, documents, free_name, mixed, stored
+from plumbline.llm.common import U64, Words, bounded, chunks, column, documents, free_name, mixed, stored
 
 GRAM = 3
 REGISTERS, ROWS = 128, 4
@@ -120,7 +120,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(sketch, f"doc_id {kind}, h long, words long, n long, sketch binary")
+    return bounded(rows).mapInArrow(sketch, f"doc_id {kind}, h long, words long, n long, sketch binary")
 
 
 def band_keys(rows: int = ROWS):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import U64, Table, among, chunks, column, code_points, documents, labels, looked_up, mixed, tables
+from plumbline.llm.common import U64, Table, among, bounded, chunks, code_points, column, documents, labels, looked_up, mixed, tables
 
 ORDER = 5
 #: The band reaches from the least to the greatest usual log perplexity (the QUANTILE and 1 - QUANTILE
@@ -73,7 +73,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    return rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return bounded(rows).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -200,7 +200,7 @@ def scored(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "lang"), blank, pa.array(n), pa.array(ppl, from_pandas=True)], ["doc_id", "lang", "blank", "n", "log_ppl"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "lang", "text").mapInArrow(score, f"doc_id {kind}, lang string, blank boolean, n long, log_ppl double")
+    return bounded(docs).select("doc_id", "lang", "text").mapInArrow(score, f"doc_id {kind}, lang string, blank boolean, n long, log_ppl double")
 
 
 def trained(docs: DataFrame, marks: DataFrame, order: int = ORDER) -> tuple[dict[str, Model], dict[str, tuple[float, float]]]:
@@ -250,7 +250,7 @@ def kept(docs: DataFrame, marks: DataFrame, order: int = ORDER) -> DataFrame:
             outside = (ppl < lo - wide) | (ppl > hi + wide)
             yield pd.Series(np.array([bool((x or "").strip()) for x in texts], bool) & ~outside)
 
-    return docs.where(keep("lang", "text"))
+    return bounded(docs).where(keep("lang", "text"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Table, Words, among, chunks, column, documents, labels
+from plumbline.llm.common import Table, Words, among, bounded, chunks, column, documents, labels
 from plumbline.llm.neardup import element_hashes, registers
 
 EXAMPLES, BLOCK, K = 4096, 64, 10
@@ -213,7 +213,7 @@ def rated(docs: DataFrame, index: Index) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(flag), pa.array(scores, from_pandas=True), pa.array(evidence, pa.string())], ["doc_id", "toxic", "score", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(rate, f"doc_id {kind}, toxic boolean, score double, evidence string")
+    return bounded(docs).select("doc_id", "text").mapInArrow(rate, f"doc_id {kind}, toxic boolean, score double, evidence string")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
