@@ -5,7 +5,7 @@ source allows, and the k-th of LEVELS nested mixes k / LEVELS of that. A documen
 place within its source is a 60-bit hash of its doc_id, and a mix takes the
 documents up to a threshold of the hash: tokens are summed by source and the
 hash's leading BITS bits, a running sum over these few buckets finds the one in
-which a budget ends, the next BITS bits are counted for that bucket alone, and
+which a budget ends (a small stored table, whose size tells Spark how to join it), the next BITS bits are counted for that bucket alone, and
 within it the hashes themselves. Documents are never sorted, and thresholds of
 smaller mixes are never above those of larger ones.
 
@@ -79,11 +79,11 @@ def thresholds(narrow: DataFrame, weights: dict[str, int], default: int = DEFAUL
     one = ended(first.drop("source"), budget.withColumn("base", F.lit(0).cast("long")), ["key"])
     one = stored(one.select("key", "source", "level", "budget", (F.col("base") + F.coalesce("used", F.lit(0))).alias("base"), F.col("bucket").alias("outer")), 1)
     edge = one.where("outer IS NOT NULL")
-    inner = rows.select("key", "tokens", "place", F.shiftright("place", 60 - bits).alias("outer")).join(F.broadcast(edge.select("key", "outer").distinct()), ["key", "outer"])  # at most a row for each source and level
+    inner = rows.select("key", "tokens", "place", F.shiftright("place", 60 - bits).alias("outer")).join(edge.select("key", "outer").distinct(), ["key", "outer"])
     second = inner.groupBy("key", "outer", F.shiftright("place", 60 - 2 * bits).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
     two = ended(second, edge, ["key", "outer"]).select("key", "source", "level", "budget", (F.col("base") + F.coalesce("used", F.lit(0))).alias("base"), F.col("bucket").alias("outer"))
     two = stored(two, 1)
-    deep = rows.select("key", "tokens", "place", F.shiftright("place", 60 - 2 * bits).alias("outer")).join(F.broadcast(two.where("outer IS NOT NULL").select("key", "outer").distinct()), ["key", "outer"])
+    deep = rows.select("key", "tokens", "place", F.shiftright("place", 60 - 2 * bits).alias("outer")).join(two.where("outer IS NOT NULL").select("key", "outer").distinct(), ["key", "outer"])
     third = deep.groupBy("key", "outer", F.col("place").alias("bucket")).agg(F.sum("tokens").alias("tokens"))
     three = ended(third, two.where("outer IS NOT NULL"), ["key", "outer"]).select("key", "level", "last")
     cut = (1 << 60 - 2 * bits) - 1
