@@ -9,10 +9,10 @@ import re
 from dataclasses import dataclass
 from typing import Any
 
-DEFAULTS = {"out": ".plumbline", "include": ["**/*.md"], "exclude": [], "frozen": [], "routes": [], "total_row_labels": ["합계", "총계", "계", "total", "Total"]}
+DEFAULTS = dict(out=".plumbline", include=["**/*.md"], exclude=[], frozen=[], routes=[], total_row_labels="total Total 합계 총계 계".split())
 DOCS_KEYS = ("root", "manifest", "include", "exclude", "frozen", "routes")
 KNOWN_KEYS = ("$schema", "docs", "out", "ownership", "numbers", "measurements", "concepts", "schemas", "schemas_complete", "reuse_gates", "plugins")
-_KEY = re.compile(r"[a-z][a-z0-9]*(_[a-z0-9]+)*\Z")
+_KEY = re.compile(r"[a-z][0-9a-z]*(?:_[0-9a-z]+)*\Z")
 
 
 class Problems(ValueError):

@@ -14,7 +14,7 @@ from plumbline.registry import NAME
 
 SEVERITIES = ("info", "warn", "block")
 RESERVED = ("coverage",)
-FINDING_KEYS = ("axis", "severity", "code", "message", "locations", "payload", "found_by")
+FINDING_KEYS = tuple("axis severity code message locations payload found_by".split())
 LOCATION_KEYS = ("file", "line", "quote")
 LOCATION = StructType([StructField("file", StringType()), StructField("line", IntegerType()), StructField("quote", StringType())])
 #: ord is the order of arrival; payload is JSON.
@@ -166,7 +166,7 @@ def create_skipped_scan_result(axis: str, reason: str) -> dict:
     return create_scan_result(axis, [], None, {"skipped": True, "skip_reason": reason})
 
 
-# ------------------------------------------------------------- as DataFrames
+# == as DataFrames
 
 
 def empty(spark: SparkSession, schema: StructType = FINDING) -> DataFrame:

@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMERIC_CELL = r"^[*_`~\s]*(-?\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:%|개|건|곳|명|종|가지|회|줄|쪽|항목)?[*_`~\s]*$"
-SKIPPED_CELL = r"^[-–—*_`~\s.]*$|^[*_`\s]*(?:N/A|n/a|없음|해당\s*없음|미정|TBD)[*_`\s]*$"
+NUMERIC_CELL = r"^\s*(-?[0-9]+(?:,[0-9]{3})*(?:[.][0-9]+)?)\s*(?:" + "|".join("가지 항목 개 건 곳 명 종 회 줄 쪽 %".split()) + r")?\s*$"
+SKIPPED_CELL = r"^(?:[\s.–—-]*|\s*(?:TBD|미정|(?:해당\s*)?없음|n/a|N/A)\s*)$"
 DECIMAL = "decimal(38,10)"
 
 
@@ -57,7 +57,7 @@ def plain_number(x: Column) -> Column:
 
 def clean_inline(x: Column) -> Column:
     """Displayed text: links as their text, no code or emphasis marks, single blanks."""
-    t = F.regexp_replace(x, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
+    t = F.regexp_replace(x, r"!?\[([^\]]*)][(][^)]*[)]", "$1")
     t = F.regexp_replace(F.regexp_replace(t, "`+", ""), r"\*\*|__|[*_]", "")
     return stripped(F.regexp_replace(t, r"(?U)\s+", " "))
 
@@ -67,7 +67,7 @@ def name_key(x: Column) -> Column:
 
 
 def slug(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(stripped(x)), r"(?U)[^\p{L}\p{N}\s_-]+", ""), r"(?U)\s+", "-")
+    return F.regexp_replace(F.regexp_replace(F.lower(stripped(x)), r"(?U)[^\s\p{N}\p{L}_-]+", ""), r"(?U)\s+", "-")
 
 
 def decoded(x: Column) -> Column:
@@ -77,7 +77,7 @@ def decoded(x: Column) -> Column:
 
 def segments(x: Column) -> Column:
     """The parts of an identifier, in lower case."""
-    hump = F.regexp_replace(F.regexp_replace(x, "^@", ""), "(?<=[a-z0-9])(?=[A-Z])", "_")
+    hump = F.regexp_replace(F.regexp_replace(x, "^@", ""), r"(?<=[a-z\d])(?=[A-Z])", "_")
     return F.filter(F.split(F.lower(hump), r"[./\-_]+"), lambda s: s != "")
 
 

@@ -17,9 +17,9 @@ from plumbline.sources.corpus import Corpus
 
 AXIS = "concepts"
 RARE_MAX, DOMINANT_MIN, RATIO = 2, 3, 3
-IDENTIFIER = r"^(?:@[a-z0-9][a-z0-9._-]*/)?[A-Za-z_$][A-Za-z0-9_$]*(?:[./-][A-Za-z0-9_$]+)*\z"
-CODE_SHAPED = r"^@|[./_-]|[a-z0-9][A-Z]"
-FIELD_SHAPED = r"^[A-Za-z_$][A-Za-z0-9_$]*\z"
+IDENTIFIER = r"^(?:@[a-z\d][-._a-z\d]*/)?[_$A-Za-z][\w$]*(?:[-./][\w$]+)*\z"
+CODE_SHAPED = r"[-_./]|[a-z\d][A-Z]|^@"
+FIELD_SHAPED = r"^[_$A-Za-z][\w$]*\z"
 
 
 def identifiers(docs: DataFrame) -> DataFrame:

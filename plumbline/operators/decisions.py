@@ -23,8 +23,8 @@ AXIS = "decisions"
 KEYS = ("bodies", "cards", "id_pattern", "status_field", "decision_field", "card_statuses")
 POINTERS = ("decisions.supersede-dangling", "decisions.supersede-cycle", "decisions.target-out-of-scope")
 _SEPARATOR = r"[\s:：.,)\]·—-]"
-_AFTER = re.compile(r"\s*§\s*(\d+(?:\.\d+)*)((?:\s*[·,]\s*§\s*\d+(?:\.\d+)*)*)")
-_EXTERNAL = re.compile(r"(?:[a-z][a-z0-9+.-]*:|//)", re.I)
+_AFTER = re.compile(rf"\s*§\s*({M.DOTTED})((?:\s*[,·]\s*§\s*{M.DOTTED})*)")
+_EXTERNAL = re.compile(r"//|[a-z][-+.a-z0-9]*:", re.I)
 
 
 @dataclass(frozen=True)
@@ -82,21 +82,22 @@ def shown_path(at: str, context: RunContext) -> str:
     return rel if not rel.startswith("..") else os.path.relpath(at, context.repo_root).replace(os.sep, "/")
 
 
-# ------------------------------------------------------------- bodies
+# == bodies
 
 
 def labelled_block(lines: list[dict], first: int, last: int, field: str) -> tuple[int, int, str] | None:
     """(line, last line, value) of the first line in a range that gives a field, with the lines that go on from it."""
     name = re.escape(field)
-    pattern = re.compile(rf"\s*(?:[-*+]\s+)?(?:(?:\*\*|__)\s*{name}\s*(?:\*\*|__)|{name})\s*(?:[:：]\s*|\s+)(.+?)\s*\Z")
-    stop = re.compile(r"\s*(?:[-*+]|\d+[.)])\s|\s{0,3}#{1,6}(?:\s|\Z)|\s{0,3}(?:`{3,}|~{3,})")
+    strong = rf"(?P<mark>__|[*]{{2}})\s*{name}\s*(?:__|[*]{{2}})"
+    pattern = re.compile(rf"\s*(?:[*+-]\s+)?(?:{strong}|{name})(?:\s*[:：]\s*|\s+)(?P<value>.+?)\s*\Z")
+    stop = re.compile(r"\s*(?:[*+-]|[0-9]+[).])\s|\s{,3}(?:~~~|```|#{1,6}(?:\s|\Z))")
     for n in range(first, last + 1):
         if lines[n - 1]["in_fence"] or not (m := pattern.match(lines[n - 1]["raw"])):
             continue
         end = n
         while end < last and lines[end]["raw"].strip() and not stop.match(lines[end]["raw"]):
             end += 1
-        return n, end, m.group(1).strip()
+        return n, end, m["value"].strip()
     return None
 
 
@@ -141,7 +142,7 @@ def chains(decisions: DataFrame) -> DataFrame:
     )
 
 
-# ------------------------------------------------------------- designations
+# == designations
 
 
 @dataclass(frozen=True)
@@ -216,12 +217,12 @@ def targets_of(doc: dict, first: int, last: int, r: Resolver, exact: re.Pattern,
             unseen.setdefault(file, (file, reason, *where))
         elif status == "in-corpus" and file != bodies:
             m = _AFTER.match(doc["lines"][x["line"] - 1]["raw"][x["col"] - 1 + len(x["raw"]) :])
-            for section in [m.group(1), *re.findall(r"§\s*(\d+(?:\.\d+)*)", m.group(2))] if m else [None]:
+            for section in [m.group(1), *re.findall(rf"§\s*({M.DOTTED})", m.group(2))] if m else [None]:
                 seen.setdefault((file, section or ""), (file, section, *where))
     return list(seen.values()), list(unseen.values())
 
 
-# ------------------------------------------------------------- citations and cards
+# == citations and cards
 
 
 def citations(docs: DataFrame, id_pattern: str) -> DataFrame:
@@ -250,7 +251,7 @@ def reconciled(decisions: DataFrame, cards: DataFrame, statuses: tuple[str, ...]
     return both.withColumn("outcome", outcome).where("outcome IS NOT NULL").drop("there", "carded")
 
 
-# ------------------------------------------------------------- the axis
+# == the axis
 
 
 def _rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:

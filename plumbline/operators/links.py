@@ -18,20 +18,20 @@ from plumbline.sources.corpus import Corpus
 from plumbline.sources.manifests import candidate_paths, load_links_manifest
 
 AXIS = "links"
-SCHEME = r"(?i)^[a-z][a-z0-9+.\-]*:"
-SECTION_PREFIX = r"^§?\s*(\d+(?:\.\d+)*)\.?(?:\s|$)"
+SCHEME = r"(?i)^[a-z][-+.a-z\d]*:"
+SECTION_PREFIX = rf"^§?\s*{M.DOTTED}[.]?(?:\s|$)"
 DISCREDIT = 3
-_REF = re.compile(r"§\s*(\d+(?:\.\d+)*)")
+_REF = re.compile(rf"§\s*({M.DOTTED})")
 _GAP = re.compile(r"[\s의,(\[「]*\Z")
 _ENUM = re.compile(r"[\s·,、/및와과]*\Z")
 _BOUNDARY = "[\\s(\\[「\"'·,:/|>]"
 _TAIL1 = re.compile("[\\s,(\\[「'\"]*\\Z")
 _TAIL2 = re.compile("[\\s,(\\[「'\"]*의?[\\s,(\\[「'\"]*\\Z")
-_FOREIGN = re.compile(r"([A-Za-z0-9][A-Za-z0-9.+/-]*)\Z")
-_BOLD = r"^\s{0,3}(?:[-*+]|\d+[.)])?\s*\*\*([^*]+)\*\*"
+_FOREIGN = re.compile(r"([A-Za-z0-9][-+./A-Za-z0-9]*)\Z")
+_BOLD = r"^\s{0,3}(?:[*+-]|[0-9]+[).])?\s*[*]{2}([^*]+)[*]{2}"
 
 
-# ------------------------------------------------------------- the index of documents
+# == the index of documents
 
 
 def base_name(path: Column) -> Column:
@@ -57,7 +57,7 @@ def document_names(docs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     h = M.headings(docs)
     unnumbered = h.where("section IS NOT NULL").select("path", F.lit(1).alias("o1"), F.col("line").alias("o2"), F.lit(1).alias("o3"), F.regexp_replace("text", SECTION_PREFIX, "").alias("name"))
     parts = [h.select("path", F.lit(1).alias("o1"), F.col("line").alias("o2"), F.lit(0).alias("o3"), F.col("text").alias("name")), unnumbered]
-    cells = M.table_cells(docs).where((F.col("col_idx") == 0) | T.stripped(F.col("cell")).rlike(r"^\*\*[^*]+\*\*\z"))
+    cells = M.table_cells(docs).where((F.col("col_idx") == 0) | T.stripped(F.col("cell")).rlike(r"^[*]{2}[^*]+[*]{2}\z"))
     parts.append(cells.select("path", F.lit(2), "line", "col_idx", "cell"))
     bold = F.regexp_extract("raw", _BOLD, 1)
     parts.append(M.lines(docs).where("NOT in_fence").select("path", F.lit(3), "line", F.lit(0), bold.alias("name")).where("name <> ''"))
@@ -87,7 +87,7 @@ def registry(docs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return named.groupBy("name").agg(F.count("*").alias("n"), F.first("path").alias("path")).where("n = 1").select("name", "path")
 
 
-# ------------------------------------------------------------- link resolution
+# == link resolution
 
 
 def joined_path(base: Column, path: Column) -> Column:
@@ -153,7 +153,7 @@ def resolved(docs: DataFrame, declared: bool = False, broken: bool = False, ids:
     return rows.select("path", "frozen", "line", "col", "text", "target", "is_image", "raw", "kind", "ok", points.alias("checkable"), F.when(points, F.col("to")).alias("target_path"), F.when(points, fragment).alias("fragment"), F.when(points & fragment.isNotNull(), F.col("slug")).alias("anchor"), F.when(points, key).alias("key"), F.when(F.col("kind").isin("manifest-id", "unverified-id"), F.col("d")).alias("id"), "norm_path", "reason")
 
 
-# ------------------------------------------------------------- displayed names
+# == displayed names
 
 
 def displays(links: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def display_variants(shown: DataFrame) -> DataFrame:
     return minor.unionByName(tied)
 
 
-# ------------------------------------------------------------- sections
+# == sections
 
 
 def section_refs(docs: DataFrame) -> DataFrame:
@@ -294,7 +294,7 @@ def dead_sections(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return missed.where("NOT discredited"), given_up
 
 
-# ------------------------------------------------------------- the axis
+# == the axis
 
 
 def _quotes(docs: DataFrame, rows: DataFrame) -> DataFrame:

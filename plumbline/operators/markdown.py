@@ -14,15 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LINE_END = re.compile(r"\r\n|\r|\n")
-HEADING = re.compile(r" {0,3}(#{1,6})(?:\s+(.*?))?\s*\Z", re.S)
-FENCE = re.compile(r"\s{0,3}(`{3,}|~{3,})(.*)\Z", re.S)
+HEADING = re.compile(r"[ ]{,3}(?P<marks>#{1,6})(?P<rest>\s.*|)\Z", re.S)
+FENCE = re.compile(r"\s{,3}(?P<marker>`{3,}|~{3,})(?P<info>.*)\Z", re.S)
 DELIMITER = re.compile(r":?-+:?\Z")
-LINK = re.compile(r"(!?)\[([^\]]*)\]\(\s*(<[^>]*>|[^\s)]*)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*\)")
-SECTION = re.compile(r"§?\s*(\d+(?:\.\d+)*)\.?(?:\s|\Z)")
+_TITLE = "|".join(f"[{a}][^{b}]*[{b}]" for a, b in ('""', "''", "()"))
+LINK = re.compile(rf"(?P<image>!?)\[(?P<text>[^\]]*)\]\(\s*(?P<target>\<[^>]*\>|[^)\s]*)(?:\s+(?:{_TITLE}))?\s*\)")
+DOTTED = "[0-9]+(?:[.][0-9]+)*"
+SECTION = re.compile(rf"§?\s*(?P<number>{DOTTED})[.]?(?:\s|\Z)")
 _TICKS = re.compile(r"`+")
-_NOTE_STOP = re.compile(r"\s{0,3}#{1,6}(\s|\Z)")
-MULTIPLE = re.compile(r"다중\s*배정|중복\s*(?:배정|집계|계상|포함)|복수\s*배정|multiple\s+assignment|double[-\s]?count|overlap", re.I)
-ELISION = re.compile(r"발췌|일부만|주요\s*항목만|생략(?!\s*없)|excerpt|abridged|partial\s+list", re.I)
+_NOTE_STOP = re.compile(r"\s{,3}#{1,6}(?:\s|\Z)")
+MULTIPLE = re.compile(r"overlap|double[\s-]?count|multiple\s+assignment|(?:다중|복수)\s*배정|중복\s*(?:계상|배정|집계|포함)", re.I)
+ELISION = re.compile(r"excerpt|partial\s+list|abridged|생략(?!\s*없)|발췌|주요\s*항목만|일부만", re.I)
 
 
 def _kept(c: str) -> bool:
@@ -35,7 +37,7 @@ def slugify(text: str) -> str:
 
 def section_number(text: str) -> str | None:
     m = SECTION.match(text.strip())
-    return m.group(1) if m else None
+    return m["number"] if m else None
 
 
 def split_cells(raw: str) -> list[str]:
@@ -60,7 +62,7 @@ def find_fences(lines: list[str]) -> list[dict]:
         m = FENCE.match(raw)
         if not m:
             continue
-        marker, rest = m.group(1), m.group(2).strip()
+        marker, rest = m["marker"], m["info"].strip()
         if open_ is None:
             if marker[0] == "~" or "`" not in rest:
                 open_ = {"start": n, "marker": marker, "info": rest}
@@ -138,15 +140,15 @@ def parse_markdown(text: str) -> dict:
         if fenced[n - 1]:
             continue
         if "#" in line and (m := HEADING.match(line)):
-            title = re.sub(r"\s+#+\s*\Z", "", m.group(2) or "").strip()
+            title = re.sub(r"\s+#+\s*\Z", "", m["rest"].strip()).strip()
             base = slugify(title)
             seen[base] = seen.get(base, -1) + 1
-            headings.append({"level": len(m.group(1)), "text": title, "line": n, "anchor": base if not seen[base] else f"{base}-{seen[base]}", "section": section_number(title), "raw": line})
+            headings.append({"level": len(m["marks"]), "text": title, "line": n, "anchor": base if not seen[base] else f"{base}-{seen[base]}", "section": section_number(title), "raw": line})
         if "](" in line:
             for m in LINK.finditer(line):
                 if not overlaps(spans.get(n, []), m.start(), m.end()):
-                    target = m.group(3)
-                    links.append({"line": n, "col": m.start() + 1, "text": m.group(2), "target": target[1:-1] if target.startswith("<") else target, "is_image": m.group(1) == "!", "raw": m.group(0)})
+                    target = m["target"]
+                    links.append({"line": n, "col": m.start() + 1, "text": m["text"], "target": target[1:-1] if target.startswith("<") else target, "is_image": m["image"] == "!", "raw": m.group()})
     at = 0
     while at < len(raw) - 1:
         head, rule = raw[at], raw[at + 1]

@@ -19,11 +19,11 @@ from plumbline.sources.corpus import Corpus
 AXIS = "ownership"
 RADIUS, NUMERIC_TOKENS, COVERAGE = 30, 3, 0.5
 MIN_NAME, MAX_KEY, MAX_VALUE, MAX_QUOTE = 2, 40, 200, 200
-_DEFINITION = re.compile(r"\s{0,3}(?:[-*+]|\d+[.)])?\s*(\*\*|__|`)([^\n]{2,80}?)\1\s*(?:[:：]|—|–|-)\s+(\S.*)\Z", re.S)
-_ASCII_NAME = re.compile(r"[a-z0-9][a-z0-9 ._/-]*\Z")
-_SCHEME = re.compile(r"[a-z][a-z0-9+.-]*:", re.I)
+_DEFINITION = re.compile(r"\s{,3}(?:[*+-]|[0-9]+[).])?\s*(?P<mark>__|[*]{2}|`)(?P<name>.{2,80}?)(?P=mark)\s*[:：—–-]\s+(?P<value>\S.*)\Z", re.S)
+_ASCII_NAME = re.compile(r"[a-z0-9][-./_ a-z0-9]*\Z")
+_SCHEME = re.compile(r"[a-z][-+.a-z0-9]*:", re.I)
 _SENTENCE = re.compile(r"[.!?。](?=\s|\Z)")
-_SECTION_REF = re.compile(r"§\s*\d+(?:\.\d+)*")
+_SECTION_REF = re.compile(rf"§\s*{M.DOTTED}")
 _PLAIN = re.compile(r"\d+(?:\.\d+)?\Z")
 
 
@@ -36,7 +36,7 @@ def _word(c: str) -> bool:
 
 
 def strip_markup(text: str) -> str:
-    return re.sub(r"\*\*|__|`", "", re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", text)).strip()
+    return re.sub(r"\*\*|__|`", "", re.sub(r"!?\[([^\]]*)][(][^)]*[)]", r"\1", text)).strip()
 
 
 def normal(text: str) -> str:
@@ -45,11 +45,11 @@ def normal(text: str) -> str:
 
 def without_structure(line: str) -> str:
     """Without a heading's number or a list's."""
-    return re.sub(r"\A(\s*)\d+[.)]\s+", r"\1", re.sub(r"\A(\s*#{1,6}\s+)\d+(?:\.\d+)*\.?\s*", r"\1", line))
+    return re.sub(r"\A(\s*)[0-9]+[).]\s+", r"\1", re.sub(rf"\A(\s*#{{1,6}}\s+){M.DOTTED}[.]?\s*", r"\1", line))
 
 
 def to_number(token: str) -> float | None:
-    x = re.sub(r",(?=\d{3}(?!\d))", "", token)
+    x = re.sub(r",(?=[0-9]{3}(?![0-9]))", "", token)
     return float(x) if re.match(r"-?", x) and _PLAIN.match(x.lstrip("-")) else None
 
 
@@ -70,7 +70,7 @@ def numbers_in(text: str) -> list[float]:
     for token in _split(text, lambda c: _word(c) or c in ".,_/:-"):
         if ":" in token or any(map(_letter, token)):
             continue
-        for m in re.findall(r"-?\d+(?:[.,]\d+)*", token):
+        for m in re.findall(r"-?[0-9]+(?:[,.][0-9]+)*", token):
             if (v := to_number(m)) is not None and v not in out:
                 out.append(v)
     return out
@@ -86,7 +86,7 @@ def contains_name(line: str, name: str) -> bool:
     if len(n) < MIN_NAME:
         return False
     if _ASCII_NAME.match(n):
-        return re.search(rf"(?<![a-z0-9._/-]){re.escape(n)}(?![a-z0-9._/-])", line) is not None
+        return re.search(rf"(?<![-./_a-z0-9]){re.escape(n)}(?![-./_a-z0-9])", line) is not None
     return n in line
 
 
@@ -155,7 +155,7 @@ def classify(item: dict, raw: str, columns: set[str] | None = None) -> dict | No
     return None
 
 
-# ------------------------------------------------------------- owned items
+# == owned items
 
 
 def key_column(rows: list[list[str]], n_columns: int) -> int:
@@ -193,7 +193,7 @@ def owned_in(doc: dict, total_labels: list[str]) -> list[dict]:
         if x["in_table"] or (x["fence_info"] or "").strip():
             continue
         if m := _DEFINITION.match(x["raw"]):
-            name, value = strip_markup(m.group(2)), strip_markup(m.group(3))
+            name, value = strip_markup(m["name"]), strip_markup(m["value"])
             if len(normal(name)) >= MIN_NAME and value and len(value) <= MAX_VALUE:
                 items.append({"kind": "definition", "name": name, "value": value, "column": None, "cross_tab": False, "line": x["line"], "quote": x["raw"].strip()[:MAX_QUOTE]})
     return sorted(items, key=lambda i: (i["line"], i["name"]))
@@ -228,7 +228,7 @@ def owned_items(docs: DataFrame, declarations: list[dict], total_labels: list[st
     return items, missing
 
 
-# ------------------------------------------------------------- restatements
+# == restatements
 
 
 def _key(path: str) -> str:

@@ -22,7 +22,7 @@ def render_report(report: dict) -> str:
     out += [f"{s['axes_expected']} axes, {s['axes_skipped']} of them skipped with a reason; {s['coverage_blocks']} coverage blocks.", ""]
     if report["scan"]["status"] != "ok":
         out += [f"> scan: {report['scan']['reason']}", ""]
-    out += ["## Axes", "", "| axis | kind | state | script | verdict | findings |", "|---|---|---|---|---|---|"]
+    out += ["## Axes", "", "| axis | kind | state | script | verdict | findings |", "|" + "---|" * 6]
     for name, a in report["axes"].items():
         state = f"skipped: {a['reason']}" if a["state"] == "skipped" else "active"
         out.append(f"| `{name}` | {cell(a['kind'])} | {cell(state)} | {_SOURCE[a['script']]} | {_SOURCE[a['contract']]} | {a['findings']} |")
@@ -31,7 +31,7 @@ def render_report(report: dict) -> str:
         out += ["", "### Without a result", "", *why]
     out += ["", "## Findings", ""]
     if report["findings"]:
-        out += ["| severity | code | place | finding | found by |", "|---|---|---|---|---|"]
+        out += ["| severity | code | place | finding | found by |", "|" + "---|" * 5]
         # they come in order: the severest first, then by code
         out += [f"| {f['severity']} | `{f['code']}` | {cell(place(f))} | {cell(f['message'])} | {', '.join(f['found_by'])} |" for f in report["findings"]]
     else:

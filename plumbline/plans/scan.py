@@ -20,7 +20,7 @@ from plumbline.operators.markdown import parsed
 from plumbline.registry import Axis, load_axes
 from plumbline.sources.corpus import Corpus, load_corpus
 
-RUN_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*\Z")
+RUN_ID = re.compile(r"[0-9A-Za-z][-.0-9A-Z_a-z]*\Z")
 TAIL = 500
 
 
@@ -41,7 +41,7 @@ def count_severities(findings: list[dict]) -> dict[str, int]:
 
 def _none(status: str, reason: str, skipped: bool = False) -> dict:
     stats = {"files_scanned": 0, "excluded": [], "skipped": skipped} | ({"skip_reason": reason} if skipped else {})
-    return {"status": status, "reason": reason, "findings": [], "candidates": [], "stats": stats}
+    return dict(status=status, reason=reason, findings=[], candidates=[], stats=stats)
 
 
 def run_one(axis: Axis, produce: Callable[[], dict]) -> dict:

@@ -63,7 +63,7 @@ def longs(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
 
-# ------------------------------------------------------------- corpus and parser
+# == corpus and parser
 
 
 @query(
@@ -182,7 +182,7 @@ def fence_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(M.lines(docs).select("path", "line", "in_fence"), "line")
 
 
-# ------------------------------------------------------------- numbers
+# == numbers
 
 
 def _order_tables(spark: SparkSession, sf_dir: str, note: Column | None = None) -> DataFrame:
@@ -286,7 +286,7 @@ def measured_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label", F.col("measured").cast("double").alias("measured"), F.explode("wrong").alias("w")).select("label", "measured", F.col("w.path").alias("path"), F.col("w.value").cast("double").alias("said"))
 
 
-# ------------------------------------------------------------- ownership
+# == ownership
 
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -335,7 +335,7 @@ def drifted_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("name", F.size("drifted").cast("long").alias("n_drifted"), F.size("restated").cast("long").alias("n_restated"))
 
 
-# ------------------------------------------------------------- concepts
+# == concepts
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,7 +408,7 @@ def concept_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(concepts.mentions(M.parsed(files), _CONCEPTS).select("concept", "occurrences"), "occurrences")
 
 
-# ------------------------------------------------------------- links
+# == links
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -524,7 +524,7 @@ def discredited_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(up.select("path", F.size("misses").alias("n_misses"), "hits"), "n_misses", "hits")
 
 
-# ------------------------------------------------------------- decisions
+# == decisions
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -591,7 +591,7 @@ def citation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.citations(docs, r"ADR-\d{3}").groupBy("id", "path").agg(F.count("*").alias("n"), F.min("in_code").alias("in_code"))
 
 
-# ------------------------------------------------------------- findings and merge
+# == findings and merge
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -678,7 +678,7 @@ def coverage_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage(axes, scans, verdicts.unionByName(stranger))
 
 
-# ------------------------------------------------------------- scalar functions
+# == scalar functions
 
 
 @query("SELECT p_partkey, CAST(round(greatest(1 - levenshtein(a, b) / greatest(length(a), length(b)), CASE WHEN contains(CASE WHEN length(a) >= length(b) THEN a ELSE b END, CASE WHEN length(a) >= length(b) THEN b ELSE a END) THEN 0.5 + 0.5 * least(length(a), length(b)) / greatest(length(a), length(b)) ELSE 0.0 END), 3) AS DOUBLE) AS score FROM (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part)")
@@ -686,7 +686,7 @@ def name_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.name_score(F.lower("p_name"), F.lower("p_type")).cast("double").alias("score"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(lower(trim(substr(text, 1, 60))), '[^\\p{L}\\p{N}\\s_-]+', '', 'g'), '\\s+', '-', 'g') AS slug FROM documents WHERE NOT regexp_matches(text, '^\\s|[\\r\\t]') AND NOT regexp_matches(substr(text, 1, 60), '\\n$')")
+@query("SELECT doc_id, regexp_replace(regexp_replace(lower(trim(substr(text, 1, 60))), '[^\\s\\p{N}\\p{L}_-]+', '', 'g'), '\\s+', '-', 'g') AS slug FROM documents WHERE NOT regexp_matches(text, '^\\s|[\\r\\t]') AND NOT regexp_matches(substr(text, 1, 60), '\\n$')")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"^\s|[\r\t]") & ~F.substring("text", 1, 60).rlike(r"\n\z"))
     return d.select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"))

@@ -14,7 +14,7 @@ from plumbline.context import Problems, has_config_key, is_object
 KINDS = ("script", "judgment", "hybrid")
 CAPS = ("block", "warn", "info")
 AXIS_KEYS = ("name", "title", "kind", "run", "when", "severity_cap")
-NAME = re.compile(r"[a-z][a-z0-9]*(-[a-z0-9]+)*\Z")
+NAME = re.compile(r"[a-z][0-9a-z]*(?:-[0-9a-z]+)*\Z")
 
 
 class ManifestError(Problems):

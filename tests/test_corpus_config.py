@@ -42,7 +42,7 @@ def test_listing(spark, tmp_path):
         (tmp_path / p).write_text("# x\r\n")
     os.symlink(tmp_path / "docs/a.md", tmp_path / "docs/link.md")
     os.makedirs(tmp_path / "docs/dir.md")
-    (tmp_path / "c.json").write_text(json.dumps({"docs": {"root": "docs", "exclude": ["drafts/**", "old/**"], "frozen": ["old/*.md"], "include": ["**/*.md", ".c.markdown"]}}))
+    (tmp_path / "c.json").write_text(json.dumps(dict(docs=dict(root="docs", exclude=["drafts/**", "old/**"], frozen=["old/*.md"], include=["**/*.md", ".c.markdown"]))))
     corpus = load_corpus(spark, load_config(str(tmp_path / "c.json")))
     assert [x.path for x in corpus.scanned.orderBy("path").collect()] == [".c.markdown", "_hidden/b.md", "a.md"]
     assert [(x.path, x.text, x.frozen_by) for x in corpus.frozen.collect()] == [("old/f.md", "# x\r\n", "old/*.md")]
@@ -80,11 +80,11 @@ def test_cli_arguments():
 
 
 def test_manifests(tmp_path):
-    bad = {"axes": [{"name": "Bad", "kind": "odd", "run": {}}, {"name": "a", "kind": "script", "run": {"contract": "c"}, "x": 1}, {"name": "a", "kind": "judgment", "run": {"script": "s", "contract": "c"}, "severity_cap": "none", "when": {"requires": [1]}}]}
+    bad = dict(axes=[dict(name="Bad", kind="odd", run={}), dict(name="a", kind="script", run=dict(contract="c"), x=1), dict(name="a", kind="judgment", run=dict(script="s", contract="c"), severity_cap="none", when=dict(requires=[1]))])
     problems = validate_manifest(bad)
     for part in ("axes[0].name", "axes[0].kind", "axes[1].run.script", "axes[1].run.contract", "axes[1].x", "axes[2].name", "axes[2].run.script", "axes[2].severity_cap", "axes[2].when.requires"):
         assert any(p.startswith(part) for p in problems), part
-    (tmp_path / "m.json").write_text(json.dumps({"axes": [{"name": "mine", "kind": "hybrid", "run": {"script": "s.py", "contract": "c.md"}, "when": {"requires": ["k"]}}]}))
+    (tmp_path / "m.json").write_text(json.dumps(dict(axes=[dict(name="mine", kind="hybrid", run=dict(script="s.py", contract="c.md"), when=dict(requires=["k"]))])))
     (axis,) = load_manifest(str(tmp_path / "m.json"))
     assert (axis.title, axis.severity_cap, axis.script, axis.requires) == ("mine", "block", str(tmp_path / "s.py"), ("k",))
     with pytest.raises(ManifestError):

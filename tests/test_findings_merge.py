@@ -49,7 +49,7 @@ KIT = [Axis("alpha", "A", "script", script="a", severity_cap="block"), Axis("bet
 
 @pytest.fixture()
 def kit(spark, tmp_path):
-    context = context_of({"docs": {"root": "docs"}, "out": "out"}, str(tmp_path))
+    context = context_of(dict(docs=dict(root="docs"), out="out"), str(tmp_path))
 
     def scan(run_id="r", results=None, **more):
         from dataclasses import replace

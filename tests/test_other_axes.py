@@ -6,7 +6,7 @@ from plumbline.operators import concepts, decisions, links, ownership
 from plumbline.sources.manifests import SourceError, manifest_entries
 from tests.helpers import axis, codes, docs, places
 
-# ------------------------------------------------------------- ownership
+# == ownership
 
 OWNER = "# Sizes\n\n| name | count |\n|---|---|\n| kitchen | 41 |\n| hall | 5 |\n| total | 46 |\n\n- **policy**: rooms are never shared between two tenants\n"
 DECLARED = {"ownership": [{"what": "sizes", "owner": "sizes.md"}]}
@@ -67,7 +67,7 @@ def test_links_to_owner():
     assert not f("#own", "b.md", "own.md") and not f("https://x.example/own.md", "b.md", "own.md") and not f("", "b.md", "own.md")
 
 
-# ------------------------------------------------------------- concepts
+# == concepts
 
 
 def test_ghosts_and_fields(spark, tmp_path):
@@ -105,7 +105,7 @@ def test_field_names():
     assert concepts.field_names({"$defs": {"x": {"properties": {"y": {}}}}, "required": ["z"]}) == {"y", "z"}
 
 
-# ------------------------------------------------------------- links
+# == links
 
 
 def test_resolution(spark):
@@ -182,7 +182,7 @@ def test_variants(spark):
     assert links.display_variants(links.displays(links.resolved(d))).count() == 0
 
 
-# ------------------------------------------------------------- decisions
+# == decisions
 
 BODY = """# All
 ## ADR-001 First
@@ -210,7 +210,7 @@ ADR = {"adr": {"bodies": "adr/all.md", "cards": "cards.json", "status_field": "S
 def record(tmp_path):
     (tmp_path / "docs/adr").mkdir(parents=True)
     (tmp_path / "docs/adr/all.md").write_text(BODY)
-    (tmp_path / "docs/cards.json").write_text(json.dumps({"x": 1, "cards": [{"id": "ADR-001", "status": " Accepted"}, {"id": "ADR-003", "status": "draft"}, {"id": "ADR-050"}, {"id": "other"}]}, indent=1))
+    (tmp_path / "docs/cards.json").write_text(json.dumps({"x": 1, "cards": [dict(id="ADR-001", status=" Accepted"), dict(id="ADR-003", status="draft"), dict(id="ADR-050"), dict(id="other")]}, indent=1))
     return str(tmp_path)
 
 
@@ -226,7 +226,7 @@ def test_decisions_of():
 
 
 def test_decisions_axis(spark, record):
-    config = {**ADR, "docs": {"root": "docs", "frozen": ["adr/**"], "exclude": ["skip.md"]}}
+    config = {**ADR, "docs": dict(root="docs", frozen=["adr/**"], exclude=["skip.md"])}
     r = axis(spark, decisions.run_axis, FILES, config, record)
     by = {}
     for f in r["findings"]:
@@ -246,7 +246,7 @@ def test_decisions_axis(spark, record):
 
 
 def test_out_of_scope_and_frozen(spark, record):
-    config = {**ADR, "docs": {"root": "docs", "exclude": ["guide.md"], "frozen": ["api.md", "adr/**"]}}
+    config = {**ADR, "docs": dict(root="docs", exclude=["guide.md"], frozen=["api.md", "adr/**"])}
     r = axis(spark, decisions.run_axis, FILES, config, record)
     out = [f for f in r["findings"] if f["code"] == "decisions.target-out-of-scope"]
     assert [(f["severity"], places(f)) for f in out] == [("warn", [("adr/all.md", 4)])] and "guide.md" in out[0]["payload"]["scope_reason"]
