@@ -7,6 +7,7 @@ number of array operations however many texts or words it has.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 600_000
+CHUNK = 300_000
 TABLE = 0x20000
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C55)
 _cache: dict = {}
 
 
-# ---------------------------------------------------------------- tables
+# == tables
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,11 +85,11 @@ def bounded(df: DataFrame) -> DataFrame:
     some texts are a thousand times as long as others. A bound set by hand stays."""
     spark = df.sparkSession
     if spark.conf.get(BATCH, None) in (None, "256MB", "268435456", "268435456b", "9223372036854775807", "-1"):
-        spark.conf.set(BATCH, "8m")
+        spark.conf.set(BATCH, "4m")
     return df
 
 
-# ---------------------------------------------------------------- chunks
+# == chunks
 
 
 def chunks(texts: list, limit: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
@@ -102,6 +103,16 @@ def chunks(texts: list, limit: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
         size += n
     if texts:
         yield start, [x or "" for x in texts[start:]]
+    returned()
+
+
+def returned() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its task, and
+    its arrays would stay with it beside those of others."""
+    if "libc" not in _cache:
+        _cache["libc"] = ctypes.CDLL(None)
+    if hasattr(_cache["libc"], "malloc_trim"):
+        _cache["libc"].malloc_trim(0)
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import U64, Table, among, bounded, chunks, code_points, column, documents, labels, looked_up, mixed, tables
+from plumbline.llm.common import CHUNK, U64, Table, among, bounded, chunks, code_points, column, documents, labels, looked_up, mixed, tables
 
 ORDER = 5
 #: The band reaches from the least to the greatest usual log perplexity (the QUANTILE and 1 - QUANTILE
@@ -63,7 +63,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def count(batches):
         for batch in batches:
             lang = np.array(column(batch, "lang").to_pylist(), object)
-            for first, texts in chunks(column(batch, "text").to_pylist()):
+            for first, texts in chunks(column(batch, "text").to_pylist(), 2 * CHUNK):  # fewer repeated n-grams to add up
                 langs = lang[first : first + len(texts)]
                 for name in sorted(set(langs)):
                     own = [t for t, x in zip(texts, langs, strict=True) if x == name]
