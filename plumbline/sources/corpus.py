@@ -147,8 +147,9 @@ class Corpus:
 
     @property
     def documents(self) -> DataFrame:
-        """Scanned and frozen: what links and anchors may point to."""
-        return self.files.where("status <> 'excluded'").withColumn("frozen", F.col("status") == "frozen").orderBy("path")
+        """Scanned and frozen: what links and anchors may point to. In no order: results
+        are sorted where they are shown, texts never."""
+        return self.files.where("status <> 'excluded'").withColumn("frozen", F.col("status") == "frozen")
 
     @property
     def excluded(self) -> DataFrame:
