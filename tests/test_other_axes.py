@@ -40,7 +40,7 @@ def test_drift_and_restatement(spark):
     ("item", "line", "columns", "want"),
     [
         ({"name": "age", "value": "5"}, "manage 6 of them", None, None),
-        ({"name": "portal", "value": "20"}, "the bluebird-portal-web 3", None, None),
+        ({"name": "portal", "value": "20"}, "the north-portal-web 3", None, None),
         ({"name": "portal", "value": "20"}, "portal r121 i18n 1:1", None, None),
         ({"name": "portal", "value": "20"}, "### 5.2 portal", None, None),
         ({"name": "portal", "value": "20"}, "portal is up. 3 more came.", None, None),
