@@ -5,8 +5,8 @@ another with the host's wrapper, a regular expression without unions: where two
 streams disagree in a text there is a slot; tandem repeats of a group of tags become
 a repeated group, in all pages of the host once any page repeats it; and any other
 stretch that only one side has becomes optional. A slot outside repeated groups
-whose text is the same on all pages of a host (two at least) belongs to the
-template; all other texts are the page's content.
+whose text is the same on all pages of a host that have it (two at least) belongs to
+the template; all other texts are the page's content.
 
 Pages are folded one by one and counted by (host, folded stream), so that a host's
 inference sees each distinct stream once, most frequent first, however many pages
@@ -166,12 +166,17 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 class Item:
-    """A symbol of a wrapper. option: the number of the optional group it is in, or 0."""
+    """A symbol of a wrapper. option: the number of the optional group it is in, or 0;
+    pages: how many have a text there."""
 
-    __slots__ = ("option", "symbol", "texts")
+    __slots__ = ("option", "pages", "symbol", "texts")
 
     def __init__(self, symbol: str, option: int = 0):
-        self.symbol, self.option, self.texts = symbol, option, set()
+        self.symbol, self.option, self.texts, self.pages = symbol, option, set(), 0
+
+    def fixed(self) -> bool:
+        """Whether it is a slot whose text belongs to the template."""
+        return self.symbol == TEXT and len(self.texts) == 1 and self.pages > 1
 
 
 def regrouped(stream: str, groups: dict[str, str]) -> tuple[str, list[int]]:
@@ -196,9 +201,10 @@ def regrouped(stream: str, groups: dict[str, str]) -> tuple[str, list[int]]:
     return stream, place
 
 
-def inferred(streams: list[tuple[str, dict[int, tuple[int, int]]]], groups: dict[str, str]) -> tuple[list[Item], list[str], int]:
-    """The wrapper of streams (with the least and greatest text hash by slot), and
-    for each of them the mask of places that hold content."""
+def inferred(streams: list[tuple[str, dict[int, tuple[int, int]]]], groups: dict[str, str], pages: list[int] | None = None) -> tuple[list[Item], list[str], int]:
+    """The wrapper of streams (with the least and greatest text hash by slot, and the
+    number of their pages, else one each), and for each of them the mask of places that
+    hold content."""
     wrapper: list[Item] = []
     options, mapped = 0, []
     for n, (stream, hashes) in enumerate(streams):
@@ -233,18 +239,19 @@ def inferred(streams: list[tuple[str, dict[int, tuple[int, int]]]], groups: dict
             wrapper = new
         for k, (low, high) in hashes.items():
             items[place[k]].texts |= {low, high}
+            items[place[k]].pages += pages[n] if pages else 1
         mapped.append([items[p] for p in place])
-    masks = ["".join("1" if x.symbol != TEXT or len(x.texts) > 1 else "0" for x in row) for row in mapped]
+    masks = ["".join("0" if x.fixed() else "1" for x in row) for row in mapped]
     return wrapper, masks, len(wrapper)
 
 
-def shown(wrapper: list[Item], names: dict[str, str], groups: dict[str, str], single: bool) -> str:
+def shown(wrapper: list[Item], names: dict[str, str], groups: dict[str, str]) -> str:
     """The wrapper in writing: #PCDATA for slots, ( )+ and ( )? for groups, text of the template as =."""
     def text(x: Item) -> str:
         if x.symbol in groups:
             return "(" + "".join("#PCDATA" if s == TEXT else names.get(s, "?") for s in groups[x.symbol]) + ")+"
         if x.symbol == TEXT:
-            return "#PCDATA" if single or len(x.texts) > 1 else "="
+            return "=" if x.fixed() else "#PCDATA"
         return names.get(x.symbol, "?")
 
     out, k = [], 0
@@ -274,10 +281,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
             groups.update(unpacked(y))
         streams = [(s, {} if t is None else {int(x["slot"]): (x["low"], x["high"]) for x in t}) for s, t in zip(rows["stream"], rows["slots"], strict=True)]
         total = int(rows["n"].sum())
-        wrapper, masks, _ = inferred(streams, groups)
-        if total == 1:
-            masks = ["1" * len(m) for m in masks]
-        return pd.DataFrame({"host": key[0], "stream": rows["stream"], "mask": masks, "wrapper": shown(wrapper, names, groups, total == 1), "pages": total})
+        wrapper, masks, _ = inferred(streams, groups, rows["n"].tolist())
+        return pd.DataFrame({"host": key[0], "stream": rows["stream"], "mask": masks, "wrapper": shown(wrapper, names, groups), "pages": total})
 
     return n.join(slot, ["host", "stream"], "left").groupBy("host").applyInPandas(infer, "host string, stream string, mask string, wrapper string, pages long")
 

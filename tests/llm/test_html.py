@@ -81,3 +81,14 @@ def test_oddities(spark):
     assert by[1].text == "x" and by[1].wrapper is None and by[2].text is None and by[3].text == "" and by[4].text == "y"
     assert by[6].text == prose(1, 30_000)
     assert html.extracted(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_what_only_one_page_has_stays(spark):
+    """A block or a layout that no other page of the host has; what two pages share still goes."""
+    rows = [(i, f"http://a.example/{i}", page(i, 1 + i % 4, i % 3 > 0, 1 + i % 5)) for i in range(24)]
+    rows[5] = (5, rows[5][1], rows[5][2].replace("<footer>", "<blockquote>only here</blockquote><h3>one more</h3><footer>"))
+    rows.append((24, "http://a.example/24", "<table><tr><td>its own layout</td></tr></table><footer>All of it &copy; Site</footer>"))
+    got = run(spark, rows)
+    assert {"only here", "one more"} <= set(got[5].text.split("\n"))
+    assert "its own layout" in got[24].text
+    assert not any("Site Name" in got[i].text or "All of it" in got[i].text for i in range(24))
