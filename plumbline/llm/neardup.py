@@ -80,6 +80,15 @@ def registers(h: np.ndarray, text: np.ndarray, size: int, m: int = REGISTERS) ->
     return out
 
 
+def distinct(h: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
+    """How many different elements each of the texts 0 to size - 1 has."""
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return np.bincount(text[new], minlength=size)
+
+
 def estimated(one: np.ndarray, other: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
     """The likeliest Jaccard similarity of pairs, from how many registers are greater
     in one, greater in the other, and equal, given the sizes of the sets."""
@@ -100,7 +109,7 @@ def estimated(one: np.ndarray, other: np.ndarray, n1: np.ndarray, n2: np.ndarray
 
 def sketches(docs: DataFrame) -> DataFrame:
     """A row for each document with a text: doc_id, h (hash of the text), words (hash
-    of its words), n (elements), sketch (the registers, two bytes each)."""
+    of its words), n (distinct elements), sketch (the registers, two bytes each)."""
 
     def sketch(batches):
         for batch in batches:
@@ -108,7 +117,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 w = Words(texts)
                 e, text = element_hashes(w)
                 rows = registers(e, text, len(texts))
-                n = np.bincount(text, minlength=len(texts))
+                n = distinct(e, text, len(texts))
                 whole = np.zeros(len(texts), np.uint64)
                 if len(w.hash):
                     place = np.arange(len(w.hash)) - w.first[w.text]

@@ -100,3 +100,14 @@ def test_the_way_for_very_many_keys(spark, docs, monkeypatch):
     monkeypatch.setattr(neardup.members, "__defaults__", (0,))
     d = docs(*[(i, prose(i // 2, 50)) for i in range(40)], (0, prose(0, 50)), (50, None))
     assert neardup.deduplicated(d).count() == 21
+
+
+def test_a_copy_that_repeats_a_line(spark, docs):
+    """Sets, and so sizes, are of distinct elements, however often a text repeats them."""
+    texts = [prose(k, 60) for k in range(20)]
+    line = " ".join(texts[0].split()[:6])
+    rows = [(k, t) for k, t in enumerate(texts)]
+    rows += [(100 + k, t + (" " + t) * 5) for k, t in enumerate(texts)]
+    rows += [(200, texts[0] + (" " + line) * 100)]
+    got = {x["node"].doc_id: x["root"].doc_id for x in neardup.copies_of(docs(*rows)).collect()}
+    assert all(got.get(100 + k) == k for k in range(20)) and got.get(200) == 0
