@@ -9,9 +9,12 @@ together give the likeliest Jaccard similarity, which drops pairs well under the
 threshold; the others are verified on the sets themselves.
 
 In a bucket, which may be as large as it likes, each member is paired with the
-first and with the one before it, in the order of ids, so that pairs grow in
-proportion to documents; the groups are the connected components of verified
-pairs. Exact copies (the same words) are put together before, by hash.
+first and with the one before it, in the order of ids. Where that doesn't join a
+bucket's members into one component, all pairs of its members in different
+components are compared too, in tiles of TILE members: so buckets of copies cost in
+proportion to their documents, and only buckets of documents that are no copies (they
+share a passage) cost their square. The groups are the connected components of
+verified pairs. Exact copies (the same words) are put together before, by hash.
 
 Defined results: a null text is in no group. Texts without any word are copies of
 each other where they are equal. A text of fewer than GRAM words is the set of its
@@ -22,6 +25,8 @@ stays, a null doc_id before others. An empty table gives no rows.
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,6 +42,8 @@ B, A, TOP = 1.001, 20.0, 65534
 THRESHOLD = 0.5
 #: Keys of eight bytes that are sent to every executor at most.
 KEYS = 8_000_000
+#: Members of a bucket that are compared with as many others in one task.
+TILE = 1000
 #: Pairs are verified from this much under the threshold on: four deviations of the estimate.
 MARGIN = 0.18
 ORACLE_SQL = None
@@ -152,6 +159,47 @@ def proposed(unique: DataFrame, rows: int = ROWS) -> DataFrame:
     return linked.select(F.explode(F.array("first", "last")).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
 
 
+def unjoined(unique: DataFrame, roots: DataFrame, least: float, rows: int = ROWS) -> DataFrame:
+    """Pairs (a, b, estimate), a < b, of documents of unique (node, sketch, n) in different
+    components (node and root, of nodes other than roots) that share a bucket, have an
+    estimate of least or more."""
+    root = roots.select("node", "root")
+    drawn = unique.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sketch", "n")
+    drawn = stored(drawn.withColumn("id", F.monotonically_increasing_id()).withColumn("root", F.xxhash64("root")))
+    banded = drawn.select("id", "root", F.posexplode(band_keys(rows)("sketch")).alias("band", "key"))
+    # all pairs of a bucket of three were proposed
+    hot = stored(banded.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("size > 3 AND low <> high").select("band", "key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
+    member = banded.join(hot, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    tiles = member.select("band", "key", "own", "id", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    tiles = tiles.select("band", "key", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id").join(drawn.select("id", "root", "sketch", "n"), "id")
+
+    def compare(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
+        band, _, low, high = key
+        part = part.sort_values("id")
+        sketch = np.frombuffer(b"".join(part["sketch"]), np.uint16).reshape(len(part), -1)
+        ids, root, n, own = (part[c].to_numpy() for c in ("id", "root", "n", "own"))
+        bands = sketch.shape[1] // rows
+        keyed = sketch[:, : bands * rows].reshape(len(part), bands, rows)
+        out, told = [np.empty((2, 0), np.int64)], [np.empty(0)]
+        for k in np.flatnonzero(own == low):
+            some = np.flatnonzero((own == high) & (root != root[k]) & ((ids > ids[k]) | (low != high)))
+            # a pair belongs to the first of its buckets
+            some = some[~(keyed[some, :band] == keyed[k, :band]).all(2).any(1)]
+            for at in range(0, len(some), 2000):
+                few = some[at : at + 2000]
+                j = estimated(sketch[few].astype(np.int32), sketch[[k]].astype(np.int32), n[few], np.full(len(few), n[k]))
+                good = j >= least
+                out.append(np.stack([np.full(good.sum(), ids[k]), ids[few[good]]]))
+                told.append(j[good])
+        x, y = np.concatenate(out, 1)
+        return pd.DataFrame({"x": x, "y": y, "estimate": np.concatenate(told)})
+
+    found = tiles.groupBy("band", "key", "x", "y").applyInPandas(compare, "x long, y long, estimate double")
+    side = lambda x, y: drawn.select(F.col("id").alias(x), F.col("node").alias(y))
+    both = found.join(side("x", "nx"), "x").join(side("y", "ny"), "y")
+    return both.select(F.least("nx", "ny").alias("a"), F.greatest("nx", "ny").alias("b"), "estimate")
+
+
 @F.pandas_udf(DoubleType())
 def likeliest(one: pd.Series, other: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     out = [np.empty(0)]
@@ -207,6 +255,18 @@ def members(keys: DataFrame, most: int = KEYS):
     return maybe
 
 
+def exact(docs: DataFrame, close: DataFrame, threshold: float) -> DataFrame:
+    """The rows of close (a, b, estimate) whose jaccard is at the threshold or over it, with it."""
+    need = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
+    hashed = docs.where("text IS NOT NULL").select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("node"), "text")
+    maybe = members(need.select(node_key(F.col("node")).alias("key")))
+    some = hashed if maybe is None else hashed.where(maybe(node_key(F.col("node"))))
+    elements = stored(some.join(need, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).select("node", element_sets("text").alias("set")))
+    side = lambda x: elements.select(F.col("node").alias(x), F.col("set").alias(f"set{x}"))
+    both = close.join(side("a"), "a").join(side("b"), "b").withColumn("jaccard", exact_jaccard("seta", "setb"))
+    return both.where(F.col("jaccard") >= threshold).select("a", "b", "estimate", "jaccard")
+
+
 def verified(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(copies, pairs): (a, b) of documents with the same words, and (a, b, estimate,
     jaccard) of others at the threshold or over it. A document is struct(doc_id, h)."""
@@ -223,14 +283,10 @@ def verified(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) ->
     side = lambda x: sets.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
     judged = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("estimate", likeliest("sa", "sb", "na", "nb"))
     close = stored(judged.where(F.col("estimate") >= threshold - MARGIN).select("a", "b", "estimate"))
-    need = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
-    hashed = docs.where("text IS NOT NULL").select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("node"), "text")
-    maybe = members(need.select(node_key(F.col("node")).alias("key")))
-    some = hashed if maybe is None else hashed.where(maybe(node_key(F.col("node"))))
-    elements = stored(some.join(need, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).select("node", element_sets("text").alias("set")))
-    side = lambda x: elements.select(F.col("node").alias(x), F.col("set").alias(f"set{x}"))
-    exact = close.join(side("a"), "a").join(side("b"), "b").withColumn("jaccard", exact_jaccard("seta", "setb"))
-    return copies, exact.where(F.col("jaccard") >= threshold).select("a", "b", "estimate", "jaccard")
+    first = stored(exact(docs, close, threshold))
+    more = stored(unjoined(sets, components(first.select("a", "b")), threshold - MARGIN))
+    # pairs that were proposed and failed come again
+    return copies, first.unionByName(exact(docs, more.join(close, ["a", "b"], "left_anti"), threshold))
 
 
 def components(edges: DataFrame) -> DataFrame:

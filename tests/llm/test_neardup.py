@@ -111,3 +111,17 @@ def test_a_copy_that_repeats_a_line(spark, docs):
     rows += [(200, texts[0] + (" " + line) * 100)]
     got = {x["node"].doc_id: x["root"].doc_id for x in neardup.copies_of(docs(*rows)).collect()}
     assert all(got.get(100 + k) == k for k in range(20)) and got.get(200) == 0
+
+
+def test_near_copies_among_sharers_of_a_passage(spark, docs, monkeypatch):
+    """Buckets full of documents under the threshold, in which pairs over it are far apart by id."""
+    monkeypatch.setattr(neardup, "TILE", 50)
+    passage = prose(7, 60)
+    texts = [passage + " " + prose(100 + i % 100, 16) + " " + prose(1000 + i, 26) for i in range(200)]
+    s = sets(texts)
+    j = {(a, b): len(s[a] & s[b]) / len(s[a] | s[b]) for a, b in combinations(range(200), 2)}
+    close = {p for p, x in j.items() if x >= neardup.THRESHOLD}
+    assert close == {(i, i + 100) for i in range(100)} and np.mean([x > 0.36 for x in j.values()]) > 0.9
+    _, pairs = neardup.verified(docs(*enumerate(texts)))
+    got = [(x.a.doc_id, x.b.doc_id) for x in pairs.collect()]
+    assert len(set(got)) == len(got) and set(got) <= close and len(got) >= 90
