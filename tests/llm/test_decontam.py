@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from plumbline.llm import decontam
 from plumbline.llm.common import Words
@@ -57,14 +58,29 @@ def test_recall_of_edited_passages_and_exact_distances(spark, docs):
         assert distance(items[p[1]], there) == x.edits
 
 
-def test_edit_distance():
+def test_edit_distance_and_best_part():
     r = np.random.default_rng(3)
     for _ in range(200):
         a, b = (r.integers(0, 4, r.integers(1, 9)).astype(np.uint64) for _ in range(2))
         assert decontam.edit_distance(a, b) == distance(a.tolist(), b.tolist())
-        best, k = decontam.best_window(a, b)
-        every = [distance(a.tolist(), b[:n].tolist()) for n in range(len(b) + 1)]
-        assert best == min(every) and k == every.index(best)
+        every = {(x, y): distance(a.tolist(), b[x:y].tolist()) for x in range(len(b) + 1) for y in range(x, len(b) + 1)}
+        edits, at, size = decontam.best_part(a, b)
+        assert edits == min(every.values()) == every[at, at + size]
+
+
+@pytest.mark.parametrize("size", [8, 12, 20, 40, 80, 160, 320])
+def test_recall_at_the_full_budget(size):
+    """Copies at the largest distance, for items of any size, among items of other sizes."""
+    items = [(k, " ".join(f"i{k}w{x}" for x in np.random.default_rng(k).integers(0, 5000, n))) for k, n in enumerate([size] * 6 + [9, 30, 100])]
+    index = decontam.Index(items).open()
+    k, found = decontam.budget(size), 0
+    for c in range(60):
+        body = altered(items[c % 6][1].split(), k, [size, c])
+        text = " ".join(words(c, 30) + body + words(c + 100, 20))
+        got = {i: edits for _, i, edits, *_ in decontam.matches([text], index)}
+        assert got.get(c % 6, 0) <= k
+        found += c % 6 in got
+    assert found >= 0.97 * 60
 
 
 def test_no_window_is_left_out():
@@ -76,10 +92,29 @@ def test_no_window_is_left_out():
         before = words(777 + seed, 25)
         w = Words([" ".join(before + body + words(888 + seed, 30))])
         starts = decontam.windows(w, index).get(40, [])
-        best = min((decontam.best_window(index.words[0], w.hash[s : s + 48])[0] for s in starts), default=99)
+        best = min((min(decontam.edit_distance(index.words[0], w.hash[s : s + n]) for n in range(32, 49)) for s in starts), default=99)
         assert best <= decontam.budget(40)
 
 
+def test_short_items_are_found_as_they_are(spark, docs):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Yes"), (3, "one two three four five six seven eight")], ITEMS)
+    d = docs((1, "he asked, what is the CAPITAL of france? yes"), (2, "what is the capital of spain"), (3, "one two three four six seven eight"))
+    got = {(x.doc_id, x.item_id, x.edits) for x in decontam.contaminated(d, bench).collect()}
+    assert got == {(1, 1, 0), (1, 2, 0), (3, 3, 1)}
+    # a short item is reported, but no reason to drop a document
+    assert {x.doc_id for x in decontam.clean(d, bench).collect()} == {1, 2}
+    assert {x.doc_id for x in decontam.clean(d, bench, least=1).collect()} == {2}
+
+
+def test_items_in_blocks_give_the_same(spark, docs):
+    items = [(k, " ".join(words(k, 20))) for k in range(12)]
+    bench = spark.createDataFrame(items, ITEMS)
+    d = docs(*[(k, "before " + items[k % 12][1] + " after") for k in range(24)], (99, "none of it"))
+    one, many = (sorted(map(tuple, decontam.contaminated(d, bench, n).collect())) for n in (10_000, 60))
+    assert one == many and len(one) >= 24
+    assert [x.doc_id for x in decontam.clean(d, bench, 60).collect()] == [99]
+
+
 def test_oddities(odd, spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, prose(2, 60)), (4, prose(2, 60)), (None, prose(3, 60)), (6, prose(1, 20_000)[:5000])], ITEMS)
     got = decontam.contaminated(odd, bench).collect()
