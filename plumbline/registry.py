@@ -7,6 +7,7 @@ import os
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import partial
 from typing import Any
 
 from plumbline.context import Problems, has_config_key, is_object
@@ -142,11 +143,12 @@ def parse_axis_selection(value: str | None) -> list[str] | None:
     return names
 
 
-def core_axes() -> list[Axis]:
+def core_axes(commands: bool = False) -> list[Axis]:
+    """commands: whether measurements that the configuration declares are run in a shell."""
     from plumbline.operators import concepts, links, numbers, ownership
 
     return [
-        Axis("numbers", "Numbers", "script", run=numbers.run_axis, script="numbers"),
+        Axis("numbers", "Numbers", "script", run=partial(numbers.run_axis, run=numbers.run_command if commands else None), script="numbers"),
         Axis("ownership", "Restated facts", "hybrid", ("ownership",), run=ownership.run_axis, script="ownership", contract="ownership"),
         Axis("concepts", "Names and terms", "hybrid", run=concepts.run_axis, script="concepts", contract="concepts"),
         Axis("links", "Links and anchors", "script", run=links.run_axis, script="links"),
