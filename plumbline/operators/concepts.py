@@ -33,12 +33,17 @@ def identifiers(docs: DataFrame) -> DataFrame:
 
 
 def _blocks(name: Column, segments: Column) -> Column:
-    """Keys that two similar names share: the first part, or for a name of one part itself with each letter left out."""
+    """Keys that two similar names share: all parts; for names of several parts these with
+    each but the first left out (w: against a name that lacks it, with the place: against
+    one that has another there); for names of one part itself with each letter left out."""
     low = F.lower(name)
     left = F.transform(F.sequence(F.lit(0), F.length(name)), lambda i: F.concat(F.lit("1:"), F.substring(low, F.lit(1), i), F.substring(low, i + 2, F.length(name))))
     single = F.concat(F.array(F.concat(F.lit("1:"), low)), left)
-    first = F.array(F.concat(F.lit("n:"), F.coalesce(F.get(segments, F.lit(0)), F.lit(""))))
-    return F.array_distinct(F.when(F.size(segments) == 1, F.concat(first, single)).otherwise(first))
+    whole = F.array(F.concat(F.lit("w:"), F.array_join(segments, "/")))
+    places = F.when(F.size(segments) > 1, F.sequence(F.lit(1), F.size(segments) - 1)).otherwise(F.array().cast("array<int>"))
+    rest = lambda i: F.array_join(F.filter(segments, lambda _, k: k != i), "/")
+    several = F.concat(whole, F.transform(places, lambda i: F.concat(F.lit("w:"), rest(i))), F.transform(places, lambda i: F.concat(i.cast("string"), F.lit("/"), rest(i))))
+    return F.array_distinct(F.when(F.size(segments) == 1, F.concat(whole, single)).otherwise(several))
 
 
 def similar(left: DataFrame, right: DataFrame) -> DataFrame:
