@@ -18,6 +18,7 @@ from plumbline.operators import markdown as M
 from plumbline.operators.base import AxisResult
 from plumbline.sources.corpus import Corpus
 from plumbline.sources.manifests import SourceError, load_cards, load_decision_manifest
+from plumbline.sources.scratch import stored
 
 AXIS = "decisions"
 KEYS = ("bodies", "cards", "id_pattern", "status_field", "decision_field", "card_statuses")
@@ -125,21 +126,24 @@ def decisions_of(doc: dict, s: Settings) -> list[tuple]:
 
 def chains(decisions: DataFrame) -> DataFrame:
     """id, chain and terminal (a status, cycle or missing; unknown without a status) of
-    each superseded decision: a recursive query over the pointers."""
-    spark = decisions.sparkSession
-    rows = decisions.select("id", "status", "superseded_by")
-    rows.createOrReplaceTempView("_decisions")
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(id, at, chain, step, done) AS (
-          SELECT id, superseded_by, array(id, superseded_by), 1, superseded_by = id FROM _decisions WHERE superseded_by IS NOT NULL
-          UNION ALL
-          SELECT w.id, d.superseded_by, array_append(w.chain, d.superseded_by), w.step + 1, array_contains(w.chain, d.superseded_by)
-          FROM walk w JOIN _decisions d ON d.id = w.at WHERE NOT w.done AND d.superseded_by IS NOT NULL)
-        SELECT w.id, w.chain, CASE WHEN w.done THEN 'cycle' WHEN d.id IS NULL THEN 'missing' ELSE coalesce(d.status, 'unknown') END AS terminal
-        FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step DESC) AS n FROM walk) w
-        LEFT JOIN _decisions d ON d.id = w.at WHERE w.n = 1"""
-    )
+    each superseded decision. Of records with one id the last counts. Pointers are
+    followed by doubling: chains of any length take the logarithm of it in steps, each
+    a join on ids, whose result is stored. A chain ends with the first id it meets again."""
+    order = F.col("seq") if "seq" in decisions.columns else F.struct("status", "superseded_by")
+    last = decisions.groupBy("id").agg(F.max_by(F.struct("status", "superseded_by"), order).alias("d")).select("id", "d.*")
+    walk = stored(last.where("superseded_by IS NOT NULL").select("id", F.array("id", "superseded_by").alias("chain"), (F.col("id") != F.col("superseded_by")).alias("open")))
+    while not walk.where("open").isEmpty():
+        # a closed chain that another runs into is added to that one as it is
+        onward = walk.select(F.col("id").alias("at"), F.col("chain").alias("more"))
+        met = walk.withColumn("at", F.when(F.col("open"), F.element_at("chain", -1))).join(onward, "at", "left")
+        whole = F.concat("chain", F.slice("more", F.lit(2), F.greatest(F.size("more") - 1, F.lit(0))))
+        grown = met.select("id", F.when(F.col("more").isNull(), F.col("chain")).otherwise(whole).alias("chain"), F.col("more").isNotNull().alias("open"))
+        fresh = F.size(F.array_distinct("chain"))
+        walk = stored(grown.select("id", F.slice("chain", F.lit(1), fresh + 1).alias("chain"), (F.col("open") & (fresh == F.size("chain"))).alias("open")))
+    end = last.select(F.col("id").alias("at"), F.coalesce("status", F.lit("unknown")).alias("stands"))
+    out = walk.withColumn("at", F.element_at("chain", -1)).join(end, "at", "left")
+    cycle = F.size(F.array_distinct("chain")) < F.size("chain")
+    return out.select("id", "chain", F.when(cycle, "cycle").otherwise(F.coalesce("stands", F.lit("missing"))).alias("terminal"))
 
 
 # == designations
@@ -267,7 +271,7 @@ def run_axis(context: RunContext, corpus: Corpus, docs: DataFrame) -> AxisResult
     with open(at, encoding="utf-8", errors="replace", newline="") as f:
         body = M.parse_markdown(f.read())
     others = docs.where(F.col("path") != bodies)
-    known = {x.path: x.frozen for x in others.select("path", "frozen").collect()}
+    known = {x.path for x in others.select("path").collect()}
     outside = {x.path: x.reason for x in corpus.excluded.where(F.lower("path").rlike(r"\.(md|markdown)\z")).collect() if x.path not in known and x.path != bodies}
     r = Resolver(os.path.dirname(at), context.docs_root, frozenset(known), load_decision_manifest(context), outside)
     exact = re.compile(rf"(?:{s.id_pattern})\Z")
@@ -324,9 +328,10 @@ def run_axis(context: RunContext, corpus: Corpus, docs: DataFrame) -> AxisResult
     places = F.array(F.struct("file", F.col("heading_at").alias("line"), F.col("link_text").alias("quote")), F.struct(file.alias("file"), F.col("heading_line").alias("line"), F.col("title").alias("quote")))
     target = F.struct("file", F.get("sections", F.lit(0)).alias("section"), F.col("link_text").alias("current_text"))
     payload = F.to_json(F.struct(F.col("id").alias("decision_id"), F.col("title").alias("decision_summary"), F.lit("citation_missing").alias("kind"), target.alias("target"), "sections", F.col("scope").alias("designated_by"), F.col("elsewhere").alias("cited_elsewhere")))
-    missing = findings_frame(per.where(~F.col("file").isin([p for p, f in known.items() if f])), AXIS, "decisions.citation-missing", severity, F.format_string("%s designates %s, which does not cite it (cited in %d other places)", "id", "file", F.size("elsewhere")), places, payload, [*key("3"), F.lpad(F.col("k").cast("string"), 6, "0")])
+    per = per.join(others.select(F.col("path").alias("file"), "frozen"), "file")
+    missing = findings_frame(per.where("NOT frozen"), AXIS, "decisions.citation-missing", severity, F.format_string("%s designates %s, which does not cite it (cited in %d other places)", "id", "file", F.size("elsewhere")), places, payload, [*key("3"), F.lpad(F.col("k").cast("string"), 6, "0")])
     found.append(missing)
-    kept_quiet = per.where(F.col("file").isin([p for p, f in known.items() if f])).select(F.col("file").alias("path"), F.lit("frozen: decisions.citation-missing is not reported").alias("reason"))
+    kept_quiet = per.where("frozen").select(F.col("file").alias("path"), F.lit("frozen: decisions.citation-missing is not reported").alias("reason"))
 
     stale = old.join(live.select("id", F.col("path").alias("file"), F.col("line").alias("at"), F.col("quote").alias("text")), "id")
     body_ = F.struct(F.lit("stale_supersede").alias("kind"), F.col("id").alias("decision_id"), F.col("title").alias("decision_summary"), F.col("status_raw").alias("decision_status"), "superseded_by", "chain", F.struct(file.alias("file"), F.col("heading_line").alias("line")).alias("decision_heading"), F.struct("file", F.lit(None).cast("string").alias("section"), F.col("text").alias("current_text"), F.col("at").alias("line")).alias("target"))

@@ -166,6 +166,14 @@ def parse_markdown(text: str) -> dict:
             in_table[n - 1], header[n - 1] = True, n <= first + 1
         kind, note, quote = table_note(raw, fenced, first, at)
         tables.append({"table_line": first, "delimiter_line": first + 1, "end_line": at, "header": cells, "alignments": [alignment(c) for c in marks], "n_columns": len(cells), "note_kind": kind, "note_line": note, "note_quote": quote})
+    open_: list[dict] = []
+    for h in headings:
+        # a section ends before the next heading of its level or a higher one
+        while open_ and open_[-1]["level"] >= h["level"]:
+            open_.pop()["end"] = h["line"] - 1
+        open_.append(h)
+    for h in open_:
+        h["end"] = len(raw)
     lines = [{"line": n, "raw": x, "in_fence": fenced[n - 1], "fence_info": info[n - 1], "in_table": in_table[n - 1], "table_header": header[n - 1]} for n, x in enumerate(raw, 1)]
     return {"lines": lines, "fences": fences, "headings": headings, "tables": tables, "table_rows": rows, "links": links, "code_spans": [s for n in sorted(spans) for s in spans[n]]}
 
@@ -174,7 +182,7 @@ _S, _I, _B = pa.string(), pa.int32(), pa.bool_()
 TYPES = {
     "lines": [("line", _I), ("raw", _S), ("in_fence", _B), ("fence_info", _S), ("in_table", _B), ("table_header", _B)],
     "fences": [("start", _I), ("end", _I), ("marker", _S), ("info", _S), ("closed", _B)],
-    "headings": [("level", _I), ("text", _S), ("line", _I), ("anchor", _S), ("section", _S), ("raw", _S)],
+    "headings": [("level", _I), ("text", _S), ("line", _I), ("anchor", _S), ("section", _S), ("raw", _S), ("end", _I)],
     "tables": [("table_line", _I), ("delimiter_line", _I), ("end_line", _I), ("header", pa.list_(_S)), ("alignments", pa.list_(_S)), ("n_columns", _I), ("note_kind", _S), ("note_line", _I), ("note_quote", _S)],
     "table_rows": [("table_line", _I), ("line", _I), ("raw", _S), ("cells", pa.list_(_S))],
     "links": [("line", _I), ("col", _I), ("text", _S), ("target", _S), ("is_image", _B), ("raw", _S)],
@@ -210,9 +218,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def headings(docs: DataFrame) -> DataFrame:
     """With end, the last line of the section: before the next heading of the same level or a higher one."""
-    later = F.expr("array_min(transform(filter(headings, h -> h.line > x.line AND h.level <= x.level), h -> h.line))")
-    size = F.size("lines")
-    return docs.select("path", "frozen", F.explode("headings").alias("x"), "headings", size.alias("n_lines")).select("path", "frozen", "x.*", (F.coalesce(later, F.col("n_lines") + 1) - 1).alias("end"))
+    return view(docs, "headings")
 
 
 def table_cells(docs: DataFrame) -> DataFrame:

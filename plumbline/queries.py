@@ -19,6 +19,7 @@ from plumbline.operators import concepts, decisions, links, numbers, ownership
 from plumbline.operators import markdown as M
 from plumbline.plans.merge import coverage
 from plumbline.sources.corpus import corpus_of
+from plumbline.sources.scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,11 +45,13 @@ def rendered(rows: DataFrame, path: str = "path", order: str = "o", line: str =
     return rows.groupBy(path).agg(F.array_join(F.transform(all_, lambda x: x[line]), "\n").alias("text")).select(F.col(path).alias("path"), "text")
 
 
-def docs_of(*parts: DataFrame) -> DataFrame:
+def docs_of(*parts: DataFrame, once: bool = False) -> DataFrame:
+    """Parsed documents from one row for each line. once: written, for queries that read them more often."""
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    return M.parsed(rendered(rows))
+    docs = M.parsed(rendered(rows))
+    return stored(docs) if once else docs
 
 
 def lines_of(df: DataFrame, path: Column, order: Column, line: Column) -> DataFrame:
@@ -303,6 +306,7 @@ def _suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         lines_of(n, owner, F.lit(1000), F.lit("| total | 99999 |")).distinct(),
         lines_of(n, copy, F.lit(1), F.lit("# Notes")),
         lines_of(n, copy, F.lit(2), F.concat(text("- For %s we count %d in all.", "n_name", said), F.when(k == 2, " See [sizes](sizes.md).").otherwise(""))),
+        once=True,
     )
     return n, docs
 
@@ -339,17 +343,17 @@ def drifted_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey % 2 = 0 OR p_size < 3")
-    # one letter is lost in a few
+    p = table(spark, sf_dir, "part")
+    # a few have a part more
     name = F.lower(F.regexp_replace(F.concat_ws("-", F.lit("part"), "p_brand", "p_type"), "[^A-Za-z0-9]+", "-"))
     rare = F.when(F.col("p_partkey") % 97 == 0, F.concat(name, F.lit("-x"))).otherwise(name)
-    return docs_of(lines_of(p, text("size-%d.md", F.col("p_size")), F.col("p_partkey"), F.concat(F.lit("uses `"), rare, F.lit("` and `plain`"))))
+    return docs_of(lines_of(p, text("size-%d.md", F.col("p_size")), F.col("p_partkey"), F.concat(F.lit("uses `"), rare, F.lit("` and `plain`"))), once=True)
 
 
 _NAMES = """
     WITH p AS (
       SELECT lower(regexp_replace('part-' || p_brand || '-' || p_type, '[^A-Za-z0-9]+', '-', 'g')) || CASE WHEN p_partkey % 97 = 0 THEN '-x' ELSE '' END AS name
-      FROM part WHERE p_partkey % 2 = 0 OR p_size < 3),
+      FROM part),
     n AS (SELECT name, count(*) AS occurrences FROM p GROUP BY name)"""
 
 
@@ -381,9 +385,7 @@ _FIELDS = ["custKey", "orderKey", "marketSegment", "accountBalance", "shipDate"]
     """
     WITH f(a, b) AS (VALUES ('cust', 'Key'), ('order', 'Key'), ('market', 'Segment'), ('account', 'Balance'), ('ship', 'Date')),
     n AS (SELECT DISTINCT a, b, c_custkey % 7 AS k FROM f, customer)
-    SELECT a || b || k AS name, a || b AS candidate FROM n
-    UNION ALL
-    SELECT 'cust' || k || 'Key', 'custKey' FROM (SELECT DISTINCT c_custkey % 7 AS k FROM customer) WHERE false"""
+    SELECT a || b || k AS name, a || b AS candidate FROM n"""
 )
 def ghost_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that the schema lacks, but has a similar field for."""
@@ -424,6 +426,7 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines_of(there, path, F.lit(2), F.lit("## 1. Contact")),
         lines_of(there, path, F.lit(3), F.concat(F.lit("Segment: "), "c_mktsegment")),
         lines_of(o, text("orders/%d.md", F.col("o_orderkey") % 20), F.col("o_orderkey"), F.concat(F.lit("Order by ["), said, F.lit("](../customers/"), "o_custkey", F.lit(".md"), anchor, F.lit(")"))),
+        once=True,
     )
 
 
@@ -471,8 +474,8 @@ def display_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0")  # noqa: E741
+    o = table(spark, sf_dir, "orders")
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
     path = text("orders/order%d.md", F.col("o_orderkey"))
     own = text("orders/order%d.md", F.col("l_orderkey"))
     k = F.sequence(F.lit(1), F.lit(3))
@@ -483,6 +486,7 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_of(
         lines_of(head, path, F.col("k"), F.concat(F.lit("## "), "k", F.lit(". Part"))),
         lines_of(l, own, F.lit(100) + F.col("l_linenumber"), F.concat(said, F.col("l_linenumber"))),
+        once=True,
     )
 
 
@@ -490,7 +494,7 @@ _SECTIONS = """
     WITH r AS (
       SELECT 'orders/order' || l_orderkey || '.md' AS path, 3 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS line, CAST(l_linenumber AS VARCHAR) AS section,
         CASE (l_orderkey // 4) % 4 WHEN 0 THEN 'self' WHEN 1 THEN 'link' WHEN 2 THEN 'name' ELSE 'external' END AS via, l_linenumber <= 3 AS found
-      FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 4 = 0)"""
+      FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 
 
 @query(_SECTIONS + " SELECT path, line, section, via, found AND via <> 'external' AS found FROM r")
@@ -528,19 +532,20 @@ def discredited_self(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey <= 400")
+    """Parts as decisions: of each 200, a chain of 150, cycles of two, gaps and decisions that stand."""
     k = F.col("p_partkey")
-    to = F.when(k % 10 == 7, k + 1000000).when(k % 10 == 5, k - k % 10 + 6).when(k % 10 == 6, k - k % 10 + 5).when(k % 10 < 4, k + 1)
+    m = k % 200
+    to = F.when((m < 150) | ((m > 150) & (k % 10 == 5)), k + 1).when(m <= 150, None).when(k % 10 == 6, k - 1).when(k % 10 == 7, k + 1000000)
     status = F.when(to.isNotNull(), "superseded").when(k % 2 == 0, "accepted").otherwise("draft")
-    return p.select(F.concat(F.lit("P"), k).alias("id"), status.alias("status"), F.when(to.isNotNull(), F.concat(F.lit("P"), to)).alias("superseded_by"), status.alias("status_raw"), F.col("p_name").alias("title"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("P"), k).alias("id"), status.alias("status"), F.when(to.isNotNull(), F.concat(F.lit("P"), to)).alias("superseded_by"), status.alias("status_raw"), F.col("p_name").alias("title"))
 
 
 _DECISIONS = """
-    WITH RECURSIVE d AS (
-      SELECT 'P' || p_partkey AS id, CASE WHEN p_partkey % 10 IN (0, 1, 2, 3, 5, 6, 7) THEN 'superseded' WHEN p_partkey % 2 = 0 THEN 'accepted' ELSE 'draft' END AS status,
-        CASE WHEN p_partkey % 10 = 7 THEN 'P' || (p_partkey + 1000000) WHEN p_partkey % 10 = 5 THEN 'P' || (p_partkey - p_partkey % 10 + 6)
-          WHEN p_partkey % 10 = 6 THEN 'P' || (p_partkey - p_partkey % 10 + 5) WHEN p_partkey % 10 < 4 THEN 'P' || (p_partkey + 1) END AS superseded_by, p_partkey
-      FROM part WHERE p_partkey <= 400)"""
+    WITH RECURSIVE t AS (
+      SELECT p_partkey, CASE WHEN p_partkey % 200 < 150 OR (p_partkey % 200 > 150 AND p_partkey % 10 = 5) THEN p_partkey + 1 WHEN p_partkey % 200 = 150 THEN NULL
+        WHEN p_partkey % 10 = 6 THEN p_partkey - 1 WHEN p_partkey % 10 = 7 THEN p_partkey + 1000000 END AS to_key FROM part),
+    d AS (
+      SELECT 'P' || p_partkey AS id, CASE WHEN to_key IS NOT NULL THEN 'superseded' WHEN p_partkey % 2 = 0 THEN 'accepted' ELSE 'draft' END AS status, 'P' || to_key AS superseded_by, p_partkey FROM t)"""
 
 
 @query(
@@ -561,15 +566,16 @@ def supersede_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _DECISIONS
-    + """, c AS (SELECT 'P' || p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN 'Draft ' ELSE 'accepted' END AS card_status FROM part WHERE p_partkey <= 450 AND p_partkey % 3 <> 1)
+    + """, c AS (SELECT 'P' || CASE WHEN p_partkey % 30 = 0 THEN p_partkey + 2000000 ELSE p_partkey END AS id, CASE WHEN p_partkey % 6 = 0 THEN 'Draft ' ELSE 'accepted' END AS card_status FROM part WHERE p_partkey % 3 <> 1)
     SELECT coalesce(d.id, c.id) AS id, CASE WHEN d.id IS NULL THEN 'card-orphan' WHEN d.status = 'superseded' THEN CASE WHEN c.id IS NOT NULL THEN 'card-unexpected' END
       WHEN c.id IS NULL THEN 'card-missing' WHEN lower(trim(c.card_status)) <> d.status THEN 'card-mismatch' END AS outcome
     FROM d FULL JOIN c ON d.id = c.id WHERE outcome IS NOT NULL"""
 )
 def cards_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions against their cards."""
-    p = table(spark, sf_dir, "part").where("p_partkey <= 450 AND p_partkey % 3 <> 1")
-    cards = p.select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.when(F.col("p_partkey") % 6 == 0, "Draft ").otherwise("accepted").alias("card_status"), F.lit(1).alias("card_line"))
+    """Decisions against their cards: two in three have one, some of a decision that isn't there."""
+    p = table(spark, sf_dir, "part").where("p_partkey % 3 <> 1")
+    of = F.when(F.col("p_partkey") % 30 == 0, F.col("p_partkey") + 2000000).otherwise(F.col("p_partkey"))
+    cards = p.select(F.concat(F.lit("P"), of).alias("id"), F.when(F.col("p_partkey") % 6 == 0, "Draft ").otherwise("accepted").alias("card_status"), F.lit(1).alias("card_line"))
     return decisions.reconciled(_decisions(spark, sf_dir), cards, ("accepted", "draft")).select("id", "outcome")
 
 
@@ -686,7 +692,10 @@ def name_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.name_score(F.lower("p_name"), F.lower("p_type")).cast("double").alias("score"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(lower(trim(substr(text, 1, 60))), '[^\\s\\p{N}\\p{L}_-]+', '', 'g'), '\\s+', '-', 'g') AS slug FROM documents WHERE NOT regexp_matches(text, '^\\s|[\\r\\t]') AND NOT regexp_matches(substr(text, 1, 60), '\\n$')")
+_BLANK = r"\t-\r\x{85}\p{Z}"
+
+
+@query(rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g'), '[^{_BLANK}\p{{N}}\p{{L}}_-]+', '', 'g'), '[{_BLANK}]+', '-', 'g') AS slug FROM documents")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"^\s|[\r\t]") & ~F.substring("text", 1, 60).rlike(r"\n\z"))
-    return d.select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
+    """Whole texts as anchors."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
