@@ -8,8 +8,6 @@ number of array operations however many texts or words it has.
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.scratch import stored as stored
+
 CHUNK = 300_000
 TABLE = 0x20000
 U64 = np.uint64
@@ -27,26 +27,6 @@ _cache: dict = {}
 # == tables
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or a local one where it is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back: a cut in the
-    lineage that outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name_1, name_2 ... where df has that column already."""
     taken = {c.lower() for c in df.columns}
