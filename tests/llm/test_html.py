@@ -39,28 +39,82 @@ def test_the_wrapper(spark):
 
 def test_a_wrapper_matches_every_page_it_is_made_of():
     """As a pattern over symbols, with optional and repeated groups but no unions."""
-    streams, groups = [], {}
+    streams = []
     for i in range(30):
-        stream, _, names = html.tokens(page(i, i % 4, i % 3 > 0, i % 5) + ("<div><b>ad</b></div>" if i % 7 == 0 else ""))
-        fold, _, g = html.folded(stream, names)
-        groups.update(g)
-        streams.append(fold)
+        stream, _ = html.tokens(page(i, i % 4, i % 3 > 0, i % 5) + ("<div><b>ad</b></div>" if i % 7 == 0 else ""))
+        streams.append("".join(html.Folder().folded(stream)[0]))
     unique = list(dict.fromkeys(streams))
-    wrapper, masks, _ = html.inferred([(s, {}) for s in unique], groups)
+    wrapper, masks, _ = html.inferred([(html.parts(s), {}) for s in unique])
     pattern, k = "", 0
+    written = lambda x: f"(?:{re.escape(x.symbol[1:-2])})+" if x.symbol.startswith("(") else re.escape(x.symbol)
     while k < len(wrapper):
         end = k + 1
         while end < len(wrapper) and wrapper[end].option and wrapper[end].option == wrapper[k].option:
             end += 1
-        run_ = "".join(f"(?:{re.escape(groups[x.symbol])})+" if x.symbol in groups else re.escape(x.symbol) for x in wrapper[k:end])
+        run_ = "".join(map(written, wrapper[k:end]))
         pattern += f"(?:{run_})?" if wrapper[k].option else run_
         k = end
     for s in unique:
-        plain = s
-        for symbol, g in groups.items():
-            plain = plain.replace(symbol, g + g)
+        plain = "".join(2 * t[1:-2] if t.startswith("(") else t for t in html.parts(s))
         assert re.fullmatch(pattern, plain)
-    assert [len(m) for m in masks] == [len(s) for s in unique]
+    assert [len(m) for m in masks] == [len(html.parts(s)) for s in unique]
+
+
+def brute_fold(stream):
+    """Elements that follow an equal one, put together until none is left, by strings."""
+    element = re.compile(r"<([a-z]+)>(?:#|<[a-z]+/>|\((?:[^()]|\((?:[^()]|\([^()]*\)\+)*\)\+)*\)\+)*</\1>")
+    names, s = {}, stream
+    while True:
+        for m in element.finditer(s):
+            mark = f"<e{'abcdefghij'[len(names) // 10]}{'abcdefghij'[len(names) % 10]}/>"
+            mark = names.setdefault(m.group(), mark)
+            s = s[: m.start()] + mark + s[m.end() :]
+            break
+        else:
+            break
+        for x in names.values():
+            while f"{x}{x}" in s or f"({x})+{x}" in s:
+                s = s.replace(f"({x})+{x}", f"({x})+").replace(f"{x}{x}", f"({x})+")
+    for m, x in reversed(names.items()):
+        s = s.replace(x, m)
+    return s
+
+
+def test_groups_of_any_size_and_depth():
+    cells = "".join(f"<td><b>{k}</b></td><td><i>{k}</i></td>" for k in range(20))
+    row, three = f"<tr>{cells}</tr>", "<tr><td>x</td></tr>"
+    fold = lambda t: "".join(html.Folder().folded(html.tokens(t)[0])[0])
+    assert fold(f"<table>{row * 3}</table>") == "<table>(" + re.sub(r">\d+<", ">#<", row) + ")+</table>"
+    assert fold(f"<table>{row}</table>").count("(") == 0
+    deep = "".join("<ul>" + "<li>x</li>" * k + "</ul>" for k in (2, 3, 5))
+    assert fold(deep) == "(<ul>(<li>#</li>)+</ul>)+"
+    assert fold("<p>a<p>b</div></p><br><br>" + three) == "<p>#<p>#</div></p><br/><br/><tr><td>#</td></tr>"
+    stream, place = html.Folder().folded(html.tokens("<div>" + deep + "y</div>")[0])
+    assert stream == ["<div>", "(<ul>(<li>#</li>)+</ul>)+", "#", "</div>"] and place == [0] + [1] * 36 + [2, 3]
+
+
+def test_folding_against_brute_force():
+    import random
+
+    r = random.Random(3)
+
+    def made(depth):
+        return "".join(r.choice(["<p>x</p>", "<li>x</li>", "<br>"]) * r.choice([1, 1, 2, 3]) if depth == 0 or r.random() < 0.5 else f"<div>{made(depth - 1)}</div>" * r.choice([1, 2]) for _ in range(r.randrange(1, 4)))
+
+    for _ in range(200):
+        stream = html.tokens(made(3))[0]
+        fold, place = html.Folder().folded(stream)
+        plain = "".join(stream)
+        want = brute_fold(plain)
+        # an element that is repeated anywhere is a group wherever it comes later
+        if "".join(fold).count("(") == want.count("("):
+            assert "".join(fold) == want
+        assert place == sorted(place) and len(place) == len(stream) and place[-1] == len(fold) - 1
+
+
+def test_a_single_run_is_the_group_that_others_repeat():
+    streams = [html.tokens("<ul><li>a</li></ul><ul><li>a</li><li>b</li></ul>")[0], html.tokens("<ul><li>a</li></ul>")[0]]
+    assert [f for f, _ in html.refolded(streams)] == [["(<ul>(<li>#</li>)+</ul>)+"]] * 2
 
 
 def test_hosts_apart_and_single_pages(spark):
