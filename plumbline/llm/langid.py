@@ -1,9 +1,9 @@
 """Language identification by segmentation-marginalised unigrams.
 
 For each language of the documents' lang column the probabilities of the pieces of
-a fixed public vocabulary are fitted on at most SAMPLE documents of it, taken by a
-hash of their ids (the one bound here: the fit of the classifier): two steps of
-expectation-maximisation from the vocabulary's scores. A text's likelihood in a
+a fixed public vocabulary are fitted on SAMPLE documents of it in expectation, each
+taken or not by a hash of its id (the one bound here: the fit of the classifier): two
+steps of expectation-maximisation from the vocabulary's scores. A text's likelihood in a
 language is the sum over all its segmentations, by the forward algorithm, over
 the whole text.
 
@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bounded, chunks, column, documents
-from plumbline.llm.lattice import VOCABULARY, Memo, Vocabulary, re_estimated, with_unknown, word_counts, word_scores
+from plumbline.llm.common import bounded, chunks, column, documents, stored
+from plumbline.llm.lattice import VOCABULARY, Memo, re_estimated, vocabulary_of, with_unknown, word_counts, word_scores
 
 SAMPLE, STEPS = 1000, 2
 ORACLE_SQL = None
@@ -34,11 +34,10 @@ def fitted(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> dic
         return {}
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(sample / n)) for k, n in sorted(sizes.items())])
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)
-    words = word_counts(rows.where(draw), "lang").persist()
-    models = {k: Vocabulary(path).log_p for k in sizes}
+    words = stored(word_counts(rows.where(draw), "lang"))
+    models = {k: vocabulary_of(path).log_p for k in sizes}
     for _ in range(STEPS):
         models = re_estimated(words, "lang", path, models)
-    words.unpersist()
     return models
 
 
@@ -50,7 +49,7 @@ def identified(docs: DataFrame, models: dict[str, np.ndarray], path: str = VOCAB
     def score(batches):
         path, models = held.value
         names = sorted(models)
-        vocabulary, log_ps = Vocabulary(path).open(), [with_unknown(models[k]) for k in names]
+        vocabulary, log_ps = vocabulary_of(path).open(), [with_unknown(models[k]) for k in names]
         memo = Memo()
         for batch in batches:
             size = batch.num_rows

@@ -2,15 +2,17 @@
 
 A text is its words (runs of other than white space), each with the vocabulary's
 word mark before it; no piece reaches over a word's end, so the sum over all
-segmentations of a text is the product of the sums over its words. A run of more
-than LONGEST characters is cut after every LONGEST. A character that is no piece
-is an edge of its own at the probability of the unknown.
+segmentations of a text is the product of the sums over its words, which may be of
+any length. A character that is no piece is an edge of its own at the probability of
+the unknown.
 
-Words of one length go through the recursions together, as columns of arrays.
+Words of like length go through the recursions together, as columns of arrays.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import U64, _BASE, Table, Words, bounded, chunks, column, mixed, powers
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MARK, LONGEST = "▁", 200
+MARK = "▁"
+#: Letters up to which words are put together by length exactly, and letters whose pieces are known at a time.
+SHORT, SPAN = 32, 4096
 UNKNOWN = -16.0
 ZIPF = 50.0
 
@@ -53,12 +57,19 @@ class Vocabulary:
         self.log_p = np.log(p / p.sum())
 
     def open(self) -> Vocabulary:
-        self.table = Table(self.keys)
+        if not hasattr(self, "table"):
+            self.table = Table(self.keys)
         return self
 
 
+@lru_cache(4)
+def vocabulary_of(path: str = VOCABULARY) -> Vocabulary:
+    """The vocabulary of a file, read once by each process."""
+    return Vocabulary(path)
+
+
 class Group:
-    """Words of one length: the piece id of every substring that is one."""
+    """Words side by side: the piece id of every substring that is one, by where it ends."""
 
     def __init__(self, vocabulary: Vocabulary, letters: np.ndarray):
         self.n, self.length = letters.shape[0], letters.shape[1]
@@ -78,29 +89,61 @@ class Group:
                     by_end[i + size].append((i, word[x:y], ids[x:y]))
         self.edges = [(i, j, some, ids) for j, own in enumerate(by_end) for i, some, ids in own]
 
-    def forward(self, log_p: np.ndarray) -> np.ndarray:
-        """alpha[j]: log of the sum over all segmentations of the first j letters, for
-        each row of log_p, which has the unknown's at its end."""
-        alpha = np.full((self.length + 1, log_p.shape[0], self.n), -np.inf)
-        alpha[0] = 0
-        for i, j, some, ids in self.edges:
-            if len(some) == self.n:
-                np.logaddexp(alpha[j], alpha[i] + log_p[:, ids], out=alpha[j])
-            else:
-                alpha[j][:, some] = np.logaddexp(alpha[j][:, some], alpha[i][:, some] + log_p[:, ids])
-        return alpha
+
+class Lattice:
+    """Words of like length, padded at their ends, in spans of SPAN letters: the pieces of
+    one span at a time are known, so that a word may be as long as it likes."""
+
+    def __init__(self, vocabulary: Vocabulary, letters: np.ndarray, ends: np.ndarray):
+        self.vocabulary, self.letters, self.ends = vocabulary, letters, ends
+        self.n, self.length = letters.shape
+        self.words = np.arange(self.n)
+        self.kept: tuple[int, Group] | None = None
+
+    def span(self, first: int) -> tuple[int, list[tuple[int, int, np.ndarray, np.ndarray]]]:
+        """(low, edges) of the pieces that end after first and within its span; places count from low."""
+        low = max(first - self.vocabulary.longest, 0)
+        if self.kept is None or self.kept[0] != first:
+            self.kept = first, Group(self.vocabulary, self.letters[:, low : first + SPAN])
+        edges = self.kept[1].edges
+        return low, edges if low == first else [e for e in edges if e[1] > first - low]
+
+    def forward(self, log_p: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+        """Log of the sum over all segmentations of each word, for each row of log_p, which
+        has the unknown's at its end. keep: takes the sums of the first row up to every letter."""
+        out = np.empty((log_p.shape[0], self.n))
+        carry = np.zeros((1, log_p.shape[0], self.n))
+        for first in range(0, self.length, SPAN):
+            low, edges = self.span(first)
+            last = min(first + SPAN, self.length)
+            alpha = np.full((last - low + 1, log_p.shape[0], self.n), -np.inf)
+            alpha[: first - low + 1] = carry[-(first - low + 1) :]
+            for i, j, some, ids in edges:
+                if len(some) == self.n:
+                    np.logaddexp(alpha[j], alpha[i] + log_p[:, ids], out=alpha[j])
+                else:
+                    alpha[j][:, some] = np.logaddexp(alpha[j][:, some], alpha[i][:, some] + log_p[:, ids])
+            done = self.words[(self.ends > first) & (self.ends <= last)]
+            out[:, done] = alpha[self.ends[done] - low, :, done].T
+            if keep is not None:
+                keep[low : last + 1] = alpha[:, 0]
+            carry = alpha[-(self.vocabulary.longest + 1) :]
+        return out
 
     def counts(self, log_p: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected number of times that each piece is used, over words that occur times often."""
-        alpha = self.forward(log_p[None])[:, 0]
+        alpha = np.empty((self.length + 1, self.n))
+        whole = self.forward(log_p[None], alpha)[0]
         beta = np.full((self.length + 1, self.n), -np.inf)
-        beta[-1] = 0
-        for i, j, some, ids in reversed(self.edges):
-            beta[i, some] = np.logaddexp(beta[i, some], beta[j, some] + log_p[ids])
+        beta[self.ends, self.words] = 0
         out = np.zeros(len(log_p))
-        for i, j, some, ids in self.edges:
-            share = np.exp(alpha[i, some] + log_p[ids] + beta[j, some] - alpha[-1, some]) * times[some]
-            out += np.bincount(ids % len(log_p), share, len(log_p))
+        for first in reversed(range(0, self.length, SPAN)):
+            low, edges = self.span(first)
+            for i, j, some, ids in reversed(edges):
+                onward = beta[low + j, some] + log_p[ids]
+                beta[low + i, some] = np.logaddexp(beta[low + i, some], onward)
+                share = np.exp(alpha[low + i, some] + onward - whole[some]) * times[some]
+                np.add.at(out, ids, share)
         return out
 
 
@@ -109,35 +152,25 @@ def with_unknown(log_p: np.ndarray) -> np.ndarray:
 
 
 def groups(vocabulary: Vocabulary, cp: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """(indices of words, Group) for every length, in portions that bound the memory."""
+    """(indices of words, Lattice) of words of one length, or of lengths within a fourth
+    of each other where they are over SHORT, in portions that bound the memory."""
     size = end - start
     if not len(size):
         return
     order = np.argsort(size, kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(size[order]) > 0, True])
+    kind = np.where(size <= SHORT, size, SHORT + 1 + np.log(np.maximum(size, SHORT) / SHORT) // np.log(1.25)).astype(np.int64)
+    cut = np.flatnonzero(np.r_[True, np.diff(kind[order]) > 0, True])
     for a, b in zip(cut, cut[1:], strict=False):
-        length = int(size[order[a]])
-        step = max(1, 400_000 // length)
+        step = max(1, 400_000 // int(size[order[b - 1]]))
         for k in range(a, b, step):
             own = order[k : min(k + step, b)]
-            letters = np.empty((len(own), length + 1), np.uint32)
+            n = size[own]
+            place = np.arange(int(n.max()))
+            letters = np.zeros((len(own), len(place) + 1), np.uint32)
             letters[:, 0] = ord(MARK)
-            letters[:, 1:] = cp[start[own][:, None] + np.arange(length)]
-            yield own, Group(vocabulary, letters)
-
-
-def cut_words(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, hash and text of all words, those over LONGEST cut."""
-    size = w.end - w.start
-    if not len(size) or size.max() <= LONGEST:
-        return w.start, w.end, w.hash, w.text
-    parts = -(-size // LONGEST)
-    which = np.repeat(np.arange(len(size)), parts)
-    part = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = w.start[which] + part * LONGEST
-    end = np.minimum(start + LONGEST, w.end[which])
-    # a part is told from others by its word and its number
-    return start, end, np.where(parts[which] > 1, mixed(w.hash[which] + part.astype(np.uint64) + U64(1)), w.hash[which]), w.text[which]
+            inside = place < n[:, None]
+            letters[:, 1:][inside] = cp[(start[own][:, None] + place)[inside]]
+            yield own, Lattice(vocabulary, letters, n + 1)
 
 
 class Memo:
@@ -176,7 +209,8 @@ class Memo:
 def word_scores(vocabulary: Vocabulary, texts: list[str], log_ps: list[np.ndarray], memo: Memo | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(texts, len(log_ps)) log probabilities of the texts, and the characters scored, a
     mark for each word included. memo: of earlier calls with the same log_ps."""
-    start, end, h, text = cut_words(Words(texts, raw=True))
+    w = Words(texts, raw=True)
+    start, end, h, text = w.start, w.end, w.hash, w.text
     out = np.zeros((len(texts), len(log_ps)))
     letters = np.bincount(text, end - start + 1, len(texts)).astype(np.int64)
     if len(h):
@@ -185,7 +219,7 @@ def word_scores(vocabulary: Vocabulary, texts: list[str], log_ps: list[np.ndarra
         unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         values, new = memo.get(unique, len(log_ps))
         for own, group in groups(vocabulary, cp, start[first[new]], end[first[new]]):
-            values[:, new[own]] = group.forward(log_p)[-1]
+            values[:, new[own]] = group.forward(log_p)
         memo.add(unique[new], values[:, new])
         for k in range(len(log_ps)):
             out[:, k] = np.bincount(text, values[k][inverse], len(texts))
@@ -202,10 +236,10 @@ def word_counts(rows: DataFrame, key: str) -> DataFrame:
                 own = keys[first : first + len(texts)]
                 for name in sorted(set(own)):
                     some = [t for t, x in zip(texts, own, strict=True) if x == name]
-                    start, end, h, _ = cut_words(Words(some, raw=True))
-                    _, at, n = np.unique(h, return_index=True, return_counts=True)
+                    w = Words(some, raw=True)
+                    _, at, n = np.unique(w.hash, return_index=True, return_counts=True)
                     flat = " " + " ".join(some) + " "
-                    words = [flat[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+                    words = [flat[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(n.astype(np.int64))], [key, "word", "n"])
 
     return bounded(rows).where("text IS NOT NULL").select(key, "text").mapInArrow(count, f"{key} string, word string, n long").groupBy(key, "word").agg(F.sum("n").alias("n"))
@@ -219,7 +253,7 @@ def re_estimated(words: DataFrame, key: str, path: str, start: dict[str, np.ndar
 
     def expect(batches):
         path, start = held.value
-        vocabulary = Vocabulary(path).open()
+        vocabulary = vocabulary_of(path).open()
         total = {k: np.zeros(len(v) + 1) for k, v in start.items()}
         for batch in batches:
             keys = np.array(column(batch, key).to_pylist(), object)
@@ -237,7 +271,7 @@ def re_estimated(words: DataFrame, key: str, path: str, start: dict[str, np.ndar
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(x[some])], [key, "piece", "n"])
 
     out = words.mapInArrow(expect, f"{key} string, piece int, n double").groupBy(key, "piece").agg(F.sum("n").alias("n")).toArrow()
-    base = np.exp(Vocabulary(path).log_p)
+    base = np.exp(vocabulary_of(path).log_p)
     found = {k: prior * base for k in start}
     for k, piece, n in zip(out.column(key).to_pylist(), out.column("piece").to_pylist(), out.column("n").to_pylist(), strict=True):
         found[k][piece] += n

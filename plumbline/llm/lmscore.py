@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import bounded, chunks, column, documents, stored
-from plumbline.llm.lattice import VOCABULARY, Memo, Vocabulary, re_estimated, with_unknown, word_counts, word_scores
+from plumbline.llm.lattice import VOCABULARY, Memo, re_estimated, vocabulary_of, with_unknown, word_counts, word_scores
 
 ORACLE_SQL = None
 
@@ -27,7 +27,7 @@ ORACLE_SQL = None
 def fitted(docs: DataFrame, path: str = VOCABULARY) -> np.ndarray:
     """Log probabilities of the vocabulary's pieces over all words of docs."""
     words = stored(word_counts(docs.select(F.lit("all").alias("key"), "text"), "key"))
-    return re_estimated(words, "key", path, {"all": Vocabulary(path).log_p})["all"]
+    return re_estimated(words, "key", path, {"all": vocabulary_of(path).log_p})["all"]
 
 
 def scored(docs: DataFrame, log_p: np.ndarray, path: str = VOCABULARY) -> DataFrame:
@@ -37,7 +37,7 @@ def scored(docs: DataFrame, log_p: np.ndarray, path: str = VOCABULARY) -> DataFr
 
     def score(batches):
         path, log_p = held.value
-        vocabulary, log_p = Vocabulary(path).open(), with_unknown(log_p)
+        vocabulary, log_p = vocabulary_of(path).open(), with_unknown(log_p)
         memo = Memo()
         for batch in batches:
             total, chars = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)

@@ -5,14 +5,12 @@ import numpy as np
 from plumbline.llm import langid, lattice, lmscore
 from tests.llm.conftest import DOCS, prose
 
-TEXTS = ["Hello world, this is a tést \U0001f600 of things", "", "ciónador  xx\nüber straße", " \t ", "x" * 450, "the the the", "a"]
+TEXTS = ["Hello world, this is a tést \U0001f600 of things", "", "ciónador  xx\nüber straße", " \t ", "x" * 450, "thething" * 1100 + " " + "ab" * 25, "kathe" * 9 + " " + "lomi" * 9, "the the the", "a"]
 
 
 def by_letters(text):
-    """Words, those over the longest cut, each part with a mark."""
-    for w in text.split():
-        for k in range(0, len(w), lattice.LONGEST):
-            yield lattice.MARK + w[k : k + lattice.LONGEST]
+    """Words, each with a mark."""
+    return [lattice.MARK + w for w in text.split()]
 
 
 def brute(text, p, longest):
@@ -79,6 +77,32 @@ def test_expected_counts(spark, docs):
         assert math.isclose(got[k], (n + base[k]) / (sum(want.values()) + 1), rel_tol=1e-5)
 
 
+def test_expected_counts_of_long_words():
+    """Words of several spans, and of differing lengths side by side, against a recursion by letters."""
+    v = lattice.Vocabulary().open()
+    log_p = lattice.with_unknown(v.log_p)
+    p = dict(zip(v.pieces, v.log_p, strict=True))
+    words = ["thething" * 600, "ofthe" * 9, "thatwas" * 6 + "x\U0001f600"]
+    cp = np.array([ord(c) for w in words for c in w], np.uint32)
+    end = np.cumsum([len(w) for w in words])
+    start = end - [len(w) for w in words]
+    times = np.array([2.0, 3.0, 5.0])
+    got = sum(group.counts(log_p, times[own]) for own, group in lattice.groups(v, cp, start, end))
+    want = np.zeros(len(log_p))
+    for w, n in zip(words, times, strict=True):
+        x = lattice.MARK + w
+        edges = [(i, j, v.pieces.index(x[i:j]) if x[i:j] in p else -1) for j in range(1, len(x) + 1) for i in range(max(0, j - v.longest), j) if x[i:j] in p or i == j - 1]
+        a, b = np.full(len(x) + 1, -np.inf), np.full(len(x) + 1, -np.inf)
+        a[0] = b[-1] = 0
+        for i, j, k in edges:
+            a[j] = np.logaddexp(a[j], a[i] + log_p[k])
+        for i, j, k in reversed(edges):
+            b[i] = np.logaddexp(b[i], b[j] + log_p[k])
+        for i, j, k in edges:
+            want[k] += n * np.exp(a[i] + log_p[k] + b[j] - a[-1])
+    assert np.allclose(got, want)
+
+
 SENTENCES = {
     "en": "the house of the king was with this and that for which they were having other things",
     "de": "das haus des königs war mit diesem und jenem für welche sie andere dinge hatten nicht auch",
