@@ -6,8 +6,9 @@ discounts an order, continuation counts below the highest order) held in sorted
 hash arrays. Every document is scored over its whole text, and one whose
 perplexity lies outside its language's band is rejected.
 
-A symbol is a code point; white space is one blank, and code points from U+0800
-on share 2,048 classes, so that five symbols fit 60 bits.
+A symbol is a code point, or half of one: code points from WIDE on are written as two
+symbols (their higher and lower bits), so that five symbols of 12 bits fit 60. White
+space is one blank.
 
 Defined results: text null, empty or blank: perplexity null, rejected. Language
 null or without a model: perplexity null, kept, for there is no band to judge by.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import CHUNK, U64, Table, among, bounded, chunks, code_points, column, documents, labels, looked_up, mixed, tables
 
 ORDER = 5
+#: Code points from WIDE on are two symbols: WIDE and more for the bits from the eleventh on, LOW and more for the ten before.
+WIDE, LOW = 0x700, 0xB40
 #: The band reaches from the least to the greatest usual log perplexity (the QUANTILE and 1 - QUANTILE
 #: of the well-rated documents), each moved out by MARGIN times their distance, and more for short texts.
 QUANTILE, MARGIN, SHORT = 0.02, 0.75, 4.0
@@ -37,8 +40,17 @@ def symbols(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.nd
     pad = " " * (order - 2)
     cp, at = code_points([pad + t for t in texts])
     cp = np.where(looked_up(tables()["blank"], cp, False), 32, cp)
-    cp = np.where(cp < 0x800, cp, 0x800 | (cp & 0x7FF)).astype(np.uint64)
-    return cp, at[:-1] + (order - 2), at[1:] - 1
+    start, end = at[:-1] + (order - 2), at[1:] - 1
+    wide = np.flatnonzero(cp >= WIDE)
+    if not len(wide):
+        return cp.astype(np.uint64), start, end
+    size = np.ones(len(cp), np.int64)
+    size[wide] = 2
+    place = np.cumsum(size) - size
+    out = np.empty(len(cp) + len(wide), np.uint64)
+    out[place] = np.where(cp >= WIDE, WIDE + (cp >> 10), cp)
+    out[place[wide] + 1] = LOW + (cp[wide] & 0x3FF)
+    return out, place[start], place[end]
 
 
 def windows(cp: np.ndarray, order: int) -> np.ndarray:

@@ -46,21 +46,42 @@ def brute_model(texts, order):
     return p
 
 
+def halves(text):
+    """Code points from WIDE on as two characters, by arithmetic of this test's own."""
+    return "".join(c if ord(c) < 0x700 else chr(0x700 + ord(c) // 1024) + chr(0xB40 + ord(c) % 1024) for c in text)
+
+
 @pytest.mark.parametrize("order", [2, 3, 5])
 def test_model_against_brute_force(spark, docs, order):
     train = [prose(i, 30, 40) for i in range(12)] + ["Ünï 漢字漢\n\n x"]
     model = quality.fitted(quality.gram_counts(docs(*enumerate(train)), order), order)["en"].open()
-    p = brute_model(train, order)
+    p = brute_model([halves(t) for t in train], order)
     for text in ["kalo mi", "zzz", "漢q kalomi", "a"]:
         cp, start, end = quality.symbols([text], order)
         code = quality.windows(cp, order)
         got = model.log_p(code)[quality.places(start, end, len(cp))[order - 1 :]]
-        s = " " * (order - 1) + text
-        # letters beyond U+07FF share classes; these two do not fall together
-        want = [np.log(p(s[i : i + order])) for i in range(len(text))]
+        s = " " * (order - 1) + halves(text)
+        want = [np.log(p(s[i : i + order])) for i in range(len(s) - order + 1)]
         assert np.allclose(got, want, atol=1e-5)
 
 
+def test_all_code_points_are_told_apart():
+    """Every code point has symbols of its own, all of them of 12 bits, and those of a text are read from its start to its end."""
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    cp, start, end = quality.symbols(["".join(every)], 2)
+    assert cp.max() < 4096
+    own = cp[start[0] : end[0]].tolist()
+    size = [1 if ord(c) < 0x700 or c.isspace() else 2 for c in every]
+    assert sum(size) == len(own)
+    seen, at = {}, 0
+    for c, n in zip(every, size, strict=True):
+        seen.setdefault(tuple(own[at : at + n]), []).append(c)
+        at += n
+    assert all(len(x) == 1 or all(c.isspace() for c in x) for x in seen.values())
+    cp, start, end = quality.symbols(["a一", "", "嘀帀b"], 5)
+    assert (end - start).tolist() == [3, 0, 5] and len({tuple(cp[s : s + 2].tolist()) for s in (start[0] + 1, start[2], start[2] + 2)}) == 3
+
+
 def test_probabilities_add_up():
     p = brute_model([prose(i, 30, 40) for i in range(5)], ORDER)
     alphabet = sorted({c for i in range(5) for c in prose(i, 30, 40)})
