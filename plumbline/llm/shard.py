@@ -8,6 +8,10 @@ again. Blocks are runs of BLOCK rows of a file, known by file and row number, so
 that a row's label depends on the table and the seed alone, not on how files were
 split or on which executor ran, and a task that runs again draws the same.
 
+A matrix has COLUMNS columns at most: of more shards, runs of as many as needed share
+one. Such a run is permuted as a whole and cut at its shards' sizes, which is the same
+law, and a task's draws stay in proportion to COLUMNS, whatever the table's size.
+
 The matrix is never held: its rows are the leaves of a tree of drawn halves. A node
 over blocks [a, b) draws how many of its rows for each shard fall into the first
 half, from a generator seeded with (seed, a, b); a task walks from the root to its
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import documents, free_name, stored
 
 BLOCK, ROWS_A_SHARD, SEED = 65_536, 4096, 20_240
+#: Columns of the matrix at most.
+COLUMNS = 65_536
 ORACLE_SQL = None
 
 
@@ -54,16 +60,14 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) ->
 
 
 def multivariate(rng: np.random.Generator, colours: np.ndarray, drawn: int) -> np.ndarray:
-    """How many of each colour are among drawn of them all."""
-    out = np.zeros(len(colours), np.int64)
-    rest = int(colours.sum())
-    for j, n in enumerate(colours.tolist()):
-        if not drawn:
-            break
-        rest -= n
-        out[j] = hypergeometric(rng, n, rest, drawn)
-        drawn -= int(out[j])
-    return out
+    """How many of each colour are among drawn of them all: by numpy, or by halves where they are too many for it."""
+    if int(colours.sum()) < 10**9:
+        return rng.multivariate_hypergeometric(colours, drawn, method="marginals") if len(colours) else colours
+    if len(colours) == 1:
+        return np.array([drawn], np.int64)
+    one, other = np.array_split(colours, 2)
+    first = hypergeometric(rng, int(one.sum()), int(other.sum()), drawn)
+    return np.concatenate([multivariate(rng, one, first), multivariate(rng, other, drawn - first)])
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -117,7 +121,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stored(docs.toDF(*names)).select("*", *place)
 
 
-def sharded(docs: DataFrame, shards: int | None = None, rows_a_shard: int = ROWS_A_SHARD, seed: int = SEED) -> DataFrame:
+def sharded(docs: DataFrame, shards: int | None = None, rows_a_shard: int = ROWS_A_SHARD, seed: int = SEED, columns: int = COLUMNS) -> DataFrame:
     """docs in random order, with shard and position (from 0, by which each shard is
     sorted). shards: from the number of rows where None."""
     names = free_name(docs, "shard"), free_name(docs, "position")
@@ -131,7 +135,8 @@ def sharded(docs: DataFrame, shards: int | None = None, rows_a_shard: int = ROWS
         raise ValueError("two files share a hash, or a file has changed")
     total = int(n.sum())
     m = shards or max(1, -(-total // rows_a_shard))
-    held = docs.sparkSession.sparkContext.broadcast((file, number, n, shard_sizes(total, m)))
+    run = -(-m // columns)
+    held = docs.sparkSession.sparkContext.broadcast((file, number, n, np.add.reduceat(shard_sizes(total, m), np.arange(0, m, run))))
 
     @F.pandas_udf("shard int, key long")
     def label(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -155,7 +160,13 @@ def sharded(docs: DataFrame, shards: int | None = None, rows_a_shard: int = ROWS
     own = [f"c{i}" for i in range(len(docs.columns))]
     out = out.select(*own, F.col("__to.shard").alias("__shard"), F.col("__to.key").alias("__key"), "__file", "__row")
     at = F.row_number().over(Window.partitionBy("__shard").orderBy("__key", "__file", "__row")) - 1
-    return out.select(*own, "__shard", at.alias("__at")).toDF(*docs.columns, *names)
+    out = out.select(*own, "__shard", at.cast("long").alias("__at"))
+    # of all places in the order of shards, the first more shards have one row more than least
+    least, more = divmod(total, m)
+    before = lambda shard: f"({shard} * {least}L + least({shard}, {more}L))"
+    out = out.withColumn("__place", F.expr(f"{before(f'__shard * {run}L')} + __at"))
+    out = out.withColumn("__to", F.expr(f"IF(__place < {more * (least + 1)}L, __place div {least + 1}L, {more}L + (__place - {more * (least + 1)}L) div {max(least, 1)}L)"))
+    return out.select(*own, F.col("__to").cast("int"), F.expr(f"__place - {before('__to')}").cast("int")).toDF(*docs.columns, *names)
 
 
 def op2_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,19 @@ def test_the_same_again_however_files_are_split(spark, docs, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_more_shards_than_columns(spark, docs, tmp_path):
+    """Exact sizes, and each row in any shard as often, where shards share a column of the matrix."""
+    docs(*[(i, "x") for i in range(23)]).write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    got = shard.sharded(d, 7, columns=3).collect()
+    assert sorted(x.doc_id for x in got) == list(range(23))
+    assert sorted((x.shard, x.position) for x in got) == [(k, p) for k in range(7) for p in range(4 if k < 2 else 3)]
+    got = shard.sharded(d, 40, columns=4).collect()
+    assert sorted((x.shard, x.position) for x in got) == [(k, 0) for k in range(23)]
+    by = Counter(x.shard for s in range(60) for x in shard.sharded(d, 5, seed=s, columns=2).collect() if x.doc_id == 3)
+    assert len(by) == 5 and max(by.values()) < 26
+
+
 def test_matrix_rows_add_up():
     sizes, shards = np.array([5, 0, 7, 30, 1, 2]), shard.shard_sizes(45, 4)
     rows = np.array([shard.Matrix(sizes, shards, 3).row(i) for i in range(6)])
