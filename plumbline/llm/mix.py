@@ -37,10 +37,8 @@ def place(doc_id: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Runs of other than blank, tab, line feed and carriage return: each one's start counts."""
-    line = F.translate(text, "\t\n\r", "   ")
-    squeezed = F.trim(F.regexp_replace(line, "  +", " "))
-    return F.coalesce(F.when(squeezed == "", 0).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1), F.lit(0)).cast("long")
+    """Runs of other than blank, tab, line feed and carriage return."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r]++")), F.lit(0)).cast("long")
 
 
 def weight_of(source: Column, weights: dict[str, int], default: int) -> Column:
