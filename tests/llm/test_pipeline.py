@@ -38,6 +38,30 @@ def test_stages(spark, tmp_path):
     assert {x.doc_id for x in corpus_pipeline.run(spark, at).collect()} == left["source_mix"]
 
 
+def test_odd_documents(spark, odd, tmp_path):
+    """Nulls, blank and very long texts, repeated rows and clashing columns: no stage fails,
+    columns stay, and what goes is what the stages' docstrings say."""
+    at = str(tmp_path)
+    odd.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (None, 1, 0)], LABELS).write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, prose(77, 30)), (2, ""), (3, "one")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    docs = documents(spark, at)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = [(x.doc_id, x.text) for x in docs.collect()]
+        out = stage(spark, docs, at)
+        assert out.columns == (docs.columns if name != "uniform_shards" else [*docs.columns, "shard_1", "position_1"])
+        out.write.parquet(f"{at}/{k}")
+        docs = spark.read.parquet(f"{at}/{k}")
+        after = [(x.doc_id, x.text) for x in docs.collect()]
+        assert set(after) <= set(before) and len(after) <= len(before)
+        if name == "quality_rules":
+            assert not any(not (t or "").strip() for _, t in after)
+        if name == "minhash_near_dedup":
+            assert len(set(after)) == len(after)
+        if name in ("benchmark_decontamination", "uniform_shards"):
+            assert sorted(after, key=repr) == sorted(before, key=repr)
+
+
 def test_empty_tables(spark, tmp_path):
     at = str(tmp_path)
     for name, schema in (("documents", DOCS), ("labels", LABELS), ("benchmark", "item_id long, text string")):
