@@ -273,3 +273,29 @@ def test_designations():
     none, guide = ("not-a-document", None), ("in-corpus", "guide.md")
     assert [d(x) for x in ("../guide.md#s", "#ns/guide", "#ns/told", "guide", "#guide", "http://x/guide.md", "", "#ns/x", "../none.md", "%zz.md")] == [guide, guide, guide, guide, none, none, none, none, none, none]
     assert d("../old/y.md") == d("#ns/y") == ("out-of-scope", "old/y.md")
+
+
+def chased(records):
+    """Each superseded record's chain, by a loop over a dict."""
+    by, out = {r[0]: r for r in records}, {}
+    for id_, status, to in records:
+        if not by[id_][2]:
+            continue
+        chain, at, end = [id_], by[id_], None
+        while at and at[2]:
+            chain.append(at[2])
+            if at[2] in chain[:-1]:
+                end = "cycle"
+                break
+            at = by.get(at[2])
+        out[id_] = (chain, end or ((at[1] or "unknown") if at else "missing"))
+    return out
+
+
+def test_chains_of_any_length(spark):
+    records = [(f"a{k}", "superseded", f"a{k + 1}") for k in range(230)] + [("a230", "accepted", None)]
+    records += [(f"b{k}", "superseded", f"b{k + 1}") for k in range(130)]  # ends in nothing
+    records += [(f"c{k}", "superseded", f"c{(k + 1) % 7}") for k in range(7)] + [("d1", "superseded", "c3"), ("d0", "superseded", "d1"), ("e", "superseded", "e"), ("f", "superseded", "g"), ("g", None, None)]
+    rows = decisions.chains(spark.createDataFrame(records, "id string, status string, superseded_by string")).collect()
+    assert {x.id: (x.chain, x.terminal) for x in rows} == chased(records)
+    assert decisions.chains(spark.createDataFrame([], "id string, status string, superseded_by string")).count() == 0
