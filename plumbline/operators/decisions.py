@@ -262,14 +262,19 @@ def _rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     return spark.createDataFrame(rows, ddl)
 
 
-def run_axis(context: RunContext, corpus: Corpus, docs: DataFrame) -> AxisResult:
-    """The record of decisions is one document, read by the driver; the corpus is searched by Spark."""
+def run_axis(context: RunContext, corpus: Corpus, docs: DataFrame, record: tuple[str, str] | None = None) -> AxisResult:
+    """The record of decisions is one document, read by the driver; the corpus is searched
+    by Spark. record: its path under docs.root and its text, where it is at hand."""
     spark: SparkSession = docs.sparkSession
     s = parse_settings(context.config)
-    at = declared_path(s.bodies, context, "adr.bodies")
-    bodies = shown_path(at, context)
-    with open(at, encoding="utf-8", errors="replace", newline="") as f:
-        body = M.parse_markdown(f.read())
+    if record:
+        bodies, at = record[0], os.path.join(context.docs_root, record[0])
+        body = M.parse_markdown(record[1])
+    else:
+        at = declared_path(s.bodies, context, "adr.bodies")
+        bodies = shown_path(at, context)
+        with open(at, encoding="utf-8", errors="replace", newline="") as f:
+            body = M.parse_markdown(f.read())
     others = docs.where(F.col("path") != bodies)
     known = {x.path for x in others.select("path").collect()}
     outside = {x.path: x.reason for x in corpus.excluded.where(F.lower("path").rlike(r"\.(md|markdown)\z")).collect() if x.path not in known and x.path != bodies}

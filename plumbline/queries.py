@@ -342,12 +342,15 @@ def drifted_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 # == concepts
 
 
+def _rare_name() -> Column:
+    """Of a part; a few have one part of the name more."""
+    name = F.lower(F.regexp_replace(F.concat_ws("-", F.lit("part"), "p_brand", "p_type"), "[^A-Za-z0-9]+", "-"))
+    return F.when(F.col("p_partkey") % 97 == 0, F.concat(name, F.lit("-x"))).otherwise(name)
+
+
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    # a few have a part more
-    name = F.lower(F.regexp_replace(F.concat_ws("-", F.lit("part"), "p_brand", "p_type"), "[^A-Za-z0-9]+", "-"))
-    rare = F.when(F.col("p_partkey") % 97 == 0, F.concat(name, F.lit("-x"))).otherwise(name)
-    return docs_of(lines_of(p, text("size-%d.md", F.col("p_size")), F.col("p_partkey"), F.concat(F.lit("uses `"), rare, F.lit("` and `plain`"))), once=True)
+    return docs_of(lines_of(p, text("size-%d.md", F.col("p_size")), F.col("p_partkey"), F.concat(F.lit("uses `"), _rare_name(), F.lit("` and `plain`"))), once=True)
 
 
 _NAMES = """
