@@ -101,3 +101,76 @@ def test_wordings_with_edits_are_found():
 def test_a_wording_beside_a_longer_one_that_holds_it():
     text = license._BSD3.replace("<>", "Acme") + "\n" + prose(1, 30) + "\n" + license._BSD2
     assert [x[0] for x in found(text)] == ["BSD-3-Clause", "BSD-2-Clause"]
+
+
+def test_compression_ranks_wordings_that_overlap():
+    """Three short words changed cost fewer bytes than one long word; alone, the other wording still confirms."""
+    base = "Anyone may copy this work and share it with others at no cost as long as this notice stays with every copy that is made of it and the terms found at {} apply {} all copies {} all {}"
+    near = base.format("quarterly-arbitration-handbook", "to", "and", "parts")
+    far = base.format("consolidated-jurisdiction-memorandum", "in", "or", "bits")
+    text = base.format("quarterly-arbitration-handbook", "in", "or", "bits")
+    for templates in ([("near", near), ("far", far)], [("far", far), ("near", near)]):
+        got = license.Scanner(templates).scan(prose(1, 30) + "\n" + text + "\n" + prose(2, 30))
+        assert [(x[0], x[2], x[4]) for x in got] == [("near", 2, 3)]
+    assert [(x[0], x[4]) for x in license.Scanner([("far", far)]).scan(text)] == [("far", 1)]
+
+
+def test_the_scan_against_brute_force():
+    """Every template against a whole text, with edits or none: the one that compresses it best is told, or one whose
+    differing words are a part of its own."""
+    import random
+    from collections import Counter
+
+    import zstandard
+
+    r = random.Random(5)
+    alone = zstandard.ZstdCompressor(level=license.LEVEL)
+    for name, text in license.TEMPLATES:
+        if license.SLOT in text:
+            continue
+        w = license.words(text)
+        for changes in [0, *[int(license.EDITS * len(w))] * 4]:
+            new = list(w)
+            for at in r.sample(range(1, len(w) - 1), changes):
+                new[at] = r.choice(["changed", "version", new[at - 1]])
+            rivals = []
+            for k, (other, wording) in enumerate(license.TEMPLATES):
+                t = license.words(wording)
+                edits, a, b = license.aligned(t, new)
+                if edits <= int(license.EDITS * len(t) + 1e-9) and b > a:
+                    part = " ".join(new[a:b]).encode()
+                    given = zstandard.ZstdCompressor(level=license.LEVEL, dict_data=zstandard.ZstdCompressionDict(" ".join(t).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+                    rivals.append((len(given.compress(part)) - len(alone.compress(part)), edits / len(t), k, edits, a, b, Counter(t)))
+            best = min(rivals, key=lambda x: x[:3])
+            while True:
+                def differing(x, y):
+                    have = Counter(new[min(x[4], y[4]) : max(x[5], y[5])])
+                    return (x[6] - have) + Counter({(w, "more"): n for w, n in (have - x[6]).items()})
+
+                less = [x for x in rivals if x[3] < best[3] and differing(x, best) <= differing(best, x)]
+                if not less:
+                    break
+                best = min(less, key=lambda x: x[3])
+            got = license.Scanner(license.TEMPLATES).scan(" ".join(new))
+            assert (best[2], best[3]) in [(x[1], x[4]) for x in got], (name, changes, got)
+            if not changes:
+                assert got[0][0] == name and got[0][4] == 0
+
+
+def test_families_are_told_apart_though_sizes_are_some_bytes_off():
+    """The dictionary of LGPL-3.0 compresses this text of GPL-3.0 by two bytes better."""
+    text = license._GPL.format("General Public License", "3").replace("either version", "either")
+    w = license.words(text)
+    s = license.Scanner(license.TEMPLATES)
+    by = {name: k for k, (name, t) in enumerate(license.TEMPLATES) if t.startswith("This program")}
+    assert s.reduction(by["LGPL-3.0"], w) > s.reduction(by["GPL-3.0"], w)
+    assert found(prose(1, 20) + "\n" + text + "\n" + prose(2, 20)) == [("GPL-3.0", 2, 1)]
+
+
+def test_a_wording_told_again_is_not_given_to_its_rivals():
+    """Its second place holds its words too; the place with the fewest edits is told."""
+    gpl = license._GPL.format("General Public License", "2")
+    assert found(gpl + "\n" + prose(1, 30) + "\n" + gpl) == [("GPL-2.0", 1, 0)]
+    assert found(gpl.replace("redistribute", "share") + "\n" + gpl + "\n" + gpl) == [("GPL-2.0", 2, 0)]
+    both = gpl + "\n" + license._GPL.format("Affero General Public License", "3") + "\n" + gpl
+    assert [x[0] for x in found(both)] == ["GPL-2.0", "AGPL-3.0"]
