@@ -59,7 +59,9 @@ def clean_inline(x: Column) -> Column:
     """Displayed text: links as their text, no code or emphasis marks, single blanks."""
     t = F.regexp_replace(x, r"!?\[([^\]]*)][(][^)]*[)]", "$1")
     t = F.regexp_replace(F.regexp_replace(t, "`+", ""), r"\*\*|__|[*_]", "")
-    return stripped(F.regexp_replace(t, r"(?U)\s+", " "))
+    # most texts have nothing to clean, which one look tells
+    marked = x.rlike(r"(?U)[\[`*_]|[\s&&[^ ]]|  |^ | \z")
+    return F.when(~marked, x).otherwise(stripped(F.regexp_replace(t, r"(?U)\s+", " ")))
 
 
 def name_key(x: Column) -> Column:

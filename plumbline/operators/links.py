@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import os
-import re
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +19,7 @@ AXIS = "links"
 SCHEME = r"(?i)^[a-z][-+.a-z\d]*:"
 SECTION_PREFIX = rf"^§?\s*{M.DOTTED}[.]?(?:\s|$)"
 DISCREDIT = 3
-_REF = re.compile(rf"§\s*({M.DOTTED})")
-_GAP = re.compile(r"[\s의,(\[「]*\Z")
-_ENUM = re.compile(r"[\s·,、/및와과]*\Z")
 _BOUNDARY = "[\\s(\\[「\"'·,:/|>]"
-_TAIL1 = re.compile("[\\s,(\\[「'\"]*\\Z")
-_TAIL2 = re.compile("[\\s,(\\[「'\"]*의?[\\s,(\\[「'\"]*\\Z")
-_FOREIGN = re.compile(r"([A-Za-z0-9][-+./A-Za-z0-9]*)\Z")
 _BOLD = r"^\s{0,3}(?:[*+-]|[0-9]+[).])?\s*[*]{2}([^*]+)[*]{2}"
 
 
@@ -48,7 +40,7 @@ def manifest_ids(docs: DataFrame, entries: list[dict], root: str) -> DataFrame:
     spark = docs.sparkSession
     rows = [(i, e["id"], e.get("title"), k, p) for i, e in enumerate(entries) for k, p in enumerate(candidate_paths(e, root))]
     tried = spark.createDataFrame(rows, "ord int, id string, title string, k int, path string")
-    found = tried.join(docs.select("path", F.lit(True).alias("there")), "path", "left").groupBy("ord", "id", "title")
+    found = tried.join(M.documents(docs).select("path", F.lit(True).alias("there")), "path", "left").groupBy("ord", "id", "title")
     return found.agg(F.min_by(F.when(F.col("there"), F.col("path")), F.when(F.col("there"), F.col("k"))).alias("path"))
 
 
@@ -61,7 +53,7 @@ def document_names(docs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     parts.append(cells.select("path", F.lit(2), "line", "col_idx", "cell"))
     bold = F.regexp_extract("raw", _BOLD, 1)
     parts.append(M.lines(docs).where("NOT in_fence").select("path", F.lit(3), "line", F.lit(0), bold.alias("name")).where("name <> ''"))
-    parts.append(docs.select("path", F.lit(4), F.lit(0), F.lit(0), base_name(F.col("path")).alias("name")))
+    parts.append(M.documents(docs).select("path", F.lit(4), F.lit(0), F.lit(0), base_name(F.col("path")).alias("name")))
     if ids is not None:
         own = ids.where("path IS NOT NULL").groupBy("path").agg(F.min_by(F.struct("title", "id"), "ord").alias("e"))
         parts.append(own.select("path", F.lit(5), F.lit(0), F.lit(0), F.col("e.title").alias("name")))
@@ -76,7 +68,8 @@ def document_names(docs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 def registry(docs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """name and path: names that stand for one document. A name that two claim is dropped."""
     path = F.col("path")
-    parts = [docs.select("path", base_name(path).alias("n")), docs.select("path", F.regexp_replace(path, r"(?i)\.(md|markdown)\z", "").alias("n")), titles(docs).select("path", F.col("title").alias("n"))]
+    one = M.documents(docs)
+    parts = [one.select("path", base_name(path).alias("n")), one.select("path", F.regexp_replace(path, r"(?i)\.(md|markdown)\z", "").alias("n")), titles(docs).select("path", F.col("title").alias("n"))]
     if ids is not None:
         own = ids.where("path IS NOT NULL").groupBy("path").agg(F.min_by(F.struct("title", "id"), "ord").alias("e"))
         parts += [own.select("path", F.col("e.title").alias("n")), own.select("path", F.col("e.id").alias("n"))]
@@ -132,7 +125,7 @@ def resolved(docs: DataFrame, declared: bool = False, broken: bool = False, ids:
         rows = rows.withColumn("to", F.when(F.col("kind") == "manifest-id", F.col("hit.path")).otherwise(F.col("to"))).withColumn("id_known", F.col("hit").isNotNull()).drop("hit")
     else:
         rows = rows.withColumn("id_known", F.lit(False))
-    there = docs.select(F.col("path").alias("to"), F.lit(True).alias("there"))
+    there = M.documents(docs).select(F.col("path").alias("to"), F.lit(True).alias("there"))
     anchors = M.headings(docs).select(F.col("path").alias("to"), F.col("anchor").alias("slug"), F.lit(True).alias("anchored")).distinct()
     rows = rows.join(there, "to", "left").join(anchors, ["to", "slug"], "left")
     if on_disk is not None:
@@ -212,74 +205,48 @@ def display_variants(shown: DataFrame) -> DataFrame:
 
 
 def section_refs(docs: DataFrame) -> DataFrame:
-    """Each § reference outside fences and code spans that is no heading's own number:
-    path, frozen, line, pos, section, head (where its row of references begins: they
-    share what they point to), and of the head what stands before it: link_col (of the
-    link just before), one and two (the text before, for names), foreign (a name with
-    digits)."""
-
-    def work(paths, frozens, every_lines, every_spans, every_links, every_heads):
-        for path, frozen, lines, spans, links, heads in zip(paths, frozens, every_lines, every_spans, every_links, every_heads, strict=True):
-            by, ln, hd = {}, {}, {h["line"]: h["section"] for h in heads}
-            for s in spans:
-                by.setdefault(s["line"], []).append(s)
-            for x in links:
-                ln.setdefault(x["line"], []).append(x)
-            for x in lines:
-                raw, n, end, head = x["raw"], x["line"], None, None
-                for k, m in enumerate(_REF.finditer(raw)):
-                    if M.overlaps(by.get(n, []), m.start(), m.end()) or (k == 0 and hd.get(n) == m.group(1)):
-                        continue
-                    start = m.start()
-                    if end is None or not _ENUM.match(raw[end:start]):
-                        head = start
-                    end = m.end()
-                    link = one = two = foreign = None
-                    if head == start:
-                        link = next((y["col"] for y in ln.get(n, []) if y["col"] - 1 + len(y["raw"]) <= start and _GAP.match(raw[y["col"] - 1 + len(y["raw"]) : start])), None)
-                        before = raw[:start]
-                        one, two = _TAIL1.sub("", before), _TAIL2.sub("", before)
-                        f = _FOREIGN.search(re.sub(r"[\s의,]*\Z", "", before))
-                        foreign = f.group(1) if f and re.search(r"\d", f.group(1)) else None
-                    yield path, frozen, n, start, m.group(1), head, link, one, two, foreign
-
-    fields = [("path", pa.string()), ("frozen", pa.bool_()), ("line", pa.int32()), ("pos", pa.int32()), ("section", pa.string()), ("head", pa.int32()), ("link_col", pa.int32()), ("one", pa.string()), ("two", pa.string()), ("foreign", pa.string())]
-
-    def run(batches):
-        for batch in batches:
-            rows = list(work(*[c.to_pylist() for c in batch.columns]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], [f for f, _ in fields])
-
-    keep = F.filter("lines", lambda x: ~x["in_fence"] & x["raw"].contains("§"))
-    ddl = "path string, frozen boolean, line int, pos int, section string, head int, link_col int, one string, two string, foreign string"
-    return docs.select("path", "frozen", keep.alias("lines"), "code_spans", "links", "headings").mapInArrow(run, ddl)
+    """The § references outside fences and code spans that are no heading's own number,
+    a row for each that share what they point to (a row of references, or those of a
+    piece of a document after equal texts): path, frozen, line and pos of the first,
+    link_col (of the link just before), one and two (the text before, for names; two
+    null: as one), foreign (a name with digits), and all their lines, places and sections."""
+    return M.view(docs, "refs")
 
 
 def named_targets(refs: DataFrame, names: DataFrame) -> DataFrame:
     """path, line, pos, name and named_path: the longest registered name that ends the text
     before a reference, at a word's beginning. Names are joined by their last word."""
-    last = lambda x: F.element_at(F.split(F.lower(x), _BOUNDARY), -1)
-    tried = refs.where("pos = head").select("path", "line", "pos", F.explode(F.array(F.struct(F.lit(1).alias("k"), F.col("one").alias("s")), F.struct(F.lit(2).alias("k"), F.col("two").alias("s")))).alias("c")).select("path", "line", "pos", "c.k", F.lower("c.s").alias("s"))
-    both = tried.withColumn("w", last(F.col("s"))).join(names.select("name", F.col("path").alias("named_path"), last(F.col("name")).alias("w")), "w")
+    last = lambda x: F.element_at(F.split(x, _BOUNDARY), -1)
+    said = lambda k, s: F.struct(F.lit(k).alias("k"), F.lower(s).alias("s"))
+    texts = F.when(F.col("two").isNull(), F.array(said(1, "one"))).otherwise(F.array(said(1, "one"), said(2, "two")))
+    tried = refs.select("path", "line", "pos", F.explode(texts).alias("c")).select("path", "line", "pos", "c.k", "c.s")
+    both = tried.withColumn("w", last(F.col("s"))).join(names.select("name", F.col("path").alias("named_path"), last(F.lower("name")).alias("w")), "w")
     before = F.substring(F.col("s"), F.length("s") - F.length("name"), F.lit(1))
     fits = both.where(F.col("s").endswith(F.col("name")) & ((F.length("s") == F.length("name")) | before.rlike(_BOUNDARY)))
-    w = Window.partitionBy("path", "line", "pos").orderBy("k", F.length("name").desc())
-    return fits.withColumn("n", F.row_number().over(w)).where("n = 1").select("path", "line", "pos", "name", "named_path")
+    best = fits.groupBy("path", "line", "pos").agg(F.min_by(F.struct("name", "named_path"), F.struct("k", -F.length("name"))).alias("best"))
+    return best.select("path", "line", "pos", "best.*")
 
 
 def section_targets(refs: DataFrame, links: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
     """Each reference with via (link, unresolved-link, name, external or self), target_path, name and found."""
-    heads = refs.where("pos = head")
+    keep = ["path", "frozen", "lines", "places", "sections"]
+    none = F.lit(None).cast("string")
     by_link = links.select("path", "line", F.col("col").alias("link_col"), F.col("target_path").alias("link_path"), F.col("target").alias("link_target"))
-    heads = heads.join(by_link, ["path", "line", "link_col"], "left").join(named_targets(refs, names), ["path", "line", "pos"], "left")
-    via = F.when(F.col("link_col").isNotNull(), F.when(F.col("link_path").isNotNull(), "link").otherwise("unresolved-link")).when(F.col("named_path").isNotNull(), "name").when(F.col("foreign").isNotNull(), "external").otherwise("self")
-    heads = heads.withColumn("via", via)
-    to = F.when(F.col("via") == "link", F.col("link_path")).when(F.col("via") == "name", F.col("named_path")).when(F.col("via") == "self", F.col("path"))
-    name = F.when(F.col("via") == "name", F.col("name")).when(F.col("via") == "external", F.col("foreign")).when(F.col("via") == "unresolved-link", F.col("link_target"))
-    heads = heads.select("path", "line", "head", "via", to.alias("target_path"), name.alias("name"))
-    every = refs.select("path", "frozen", "line", "pos", "section", "head").join(heads, ["path", "line", "head"])
-    there = M.headings(docs).where("section IS NOT NULL").select(F.col("path").alias("target_path"), "section", F.lit(True).alias("found")).distinct()
-    return every.join(there, ["target_path", "section"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    linked = refs.where("link_col IS NOT NULL").join(by_link, ["path", "line", "link_col"], "left")
+    there = F.col("link_path").isNotNull()
+    linked = linked.select(*keep, F.when(there, "link").otherwise("unresolved-link").alias("via"), F.col("link_path").alias("target_path"), F.when(~there, F.col("link_target")).alias("name"))
+    plain = refs.where("link_col IS NULL")
+    plain = plain.join(named_targets(plain, names), ["path", "line", "pos"], "left")
+    via = F.when(F.col("named_path").isNotNull(), "name").when(F.col("foreign").isNotNull(), "external").otherwise("self")
+    to = F.when(F.col("via") == "name", F.col("named_path")).when(F.col("via") == "self", F.col("path")).otherwise(none)
+    name = F.when(F.col("via") == "name", F.col("name")).when(F.col("via") == "external", F.col("foreign")).otherwise(none)
+    plain = plain.withColumn("via", via).select(*keep, "via", to.alias("target_path"), name.alias("name"))
+    every = linked.unionByName(plain).select("path", "frozen", "via", "target_path", "name", F.explode(F.arrays_zip("lines", "places", "sections")).alias("x"))
+    every = every.select("path", "frozen", F.col("x.lines").alias("line"), F.col("x.places").alias("pos"), F.col("x.sections").alias("section"), "via", "target_path", "name")
+    # references to nothing known meet no section: they are spread by their documents
+    at = F.coalesce("target_path", F.concat(F.lit("\0"), "path"))
+    there = M.headings(docs).where("section IS NOT NULL").select(F.col("path").alias("at"), "section", F.lit(True).alias("found")).distinct()
+    return every.withColumn("at", at).join(there, ["at", "section"], "left").drop("at").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def dead_sections(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -289,9 +256,10 @@ def dead_sections(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     by = Window.partitionBy("path")
     self_ = F.col("via") == "self"
     counted = targets.where("target_path IS NOT NULL").withColumns({"hits": F.sum(F.when(self_ & F.col("found"), 1).otherwise(0)).over(by), "misses": F.sum(F.when(self_ & ~F.col("found"), 1).otherwise(0)).over(by)})
-    missed = counted.where("NOT found").withColumn("discredited", self_ & (F.col("misses") >= DISCREDIT) & (F.col("misses") > F.col("hits")))
-    given_up = missed.where("discredited").groupBy("path", "frozen", "hits").agg(F.array_sort(F.collect_list(F.struct("line", "pos", "section"))).alias("misses"))
-    return missed.where("NOT discredited"), given_up
+    discredited = self_ & (F.col("misses") >= DISCREDIT) & (F.col("misses") > F.col("hits"))
+    own = targets.where(self_).groupBy("path", "frozen").agg(F.sum(F.col("found").cast("long")).alias("hits"), F.array_sort(F.collect_list(F.when(~F.col("found"), F.struct("line", "pos", "section")))).alias("misses"))
+    given_up = own.where((F.size("misses") >= DISCREDIT) & (F.size("misses") > F.col("hits")))
+    return counted.where(~F.col("found") & ~discredited), given_up
 
 
 # == the axis

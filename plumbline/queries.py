@@ -54,6 +54,14 @@ def docs_of(*parts: DataFrame, once: bool = False) -> DataFrame:
     return stored(docs) if once else docs
 
 
+def pieces_of(*parts: DataFrame, wanted: tuple[str, ...] = tuple(M.TYPES)) -> DataFrame:
+    """As docs_of(), written, with documents of any length in pieces and only the wanted parts of them."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return stored(M.parsed_lines(rows, wanted))
+
+
 def lines_of(df: DataFrame, path: Column, order: Column, line: Column) -> DataFrame:
     return df.select(path.alias("path"), order.cast("long").alias("o"), line.alias("line"))
 
@@ -424,12 +432,12 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = c.where("c_acctbal > 0")
     anchor = F.when(F.col("o_orderkey") % 3 == 0, "#contact").when(F.col("o_orderkey") % 3 == 1, "#nowhere").otherwise("")
     said = F.when(F.col("o_orderkey") % 5 == 0, "CUSTOMER").otherwise(F.concat(F.lit("Customer "), F.col("o_custkey")))
-    return docs_of(
+    return pieces_of(
         lines_of(there, path, F.lit(1), F.concat(F.lit("# Customer "), "c_custkey")),
         lines_of(there, path, F.lit(2), F.lit("## 1. Contact")),
         lines_of(there, path, F.lit(3), F.concat(F.lit("Segment: "), "c_mktsegment")),
         lines_of(o, text("orders/%d.md", F.col("o_orderkey") % 20), F.col("o_orderkey"), F.concat(F.lit("Order by ["), said, F.lit("](../customers/"), "o_custkey", F.lit(".md"), anchor, F.lit(")"))),
-        once=True,
+        wanted=("lines", "headings", "table_rows", "links"),
     )
 
 
@@ -486,10 +494,10 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     # by name, by link, without either, and after an outside name
     way = (F.col("l_orderkey") / 4).cast("long") % 4
     said = F.when(way == 0, F.lit("as in it: §")).when(way == 1, F.concat(F.lit("see [it](order"), "l_orderkey", F.lit(".md) §"))).when(way == 2, F.concat(F.lit("see order"), "l_orderkey", F.lit(" §"))).otherwise(F.lit("see ISO42 §"))
-    return docs_of(
+    return pieces_of(
         lines_of(head, path, F.col("k"), F.concat(F.lit("## "), "k", F.lit(". Part"))),
         lines_of(l, own, F.lit(100) + F.col("l_linenumber"), F.concat(said, F.col("l_linenumber"))),
-        once=True,
+        wanted=("headings", "links", "refs"),
     )
 
 

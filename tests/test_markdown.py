@@ -1,5 +1,7 @@
+import random
 import string
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -68,3 +70,29 @@ def test_views(spark):
     assert [(x.text, x.line, x.end) for x in M.headings(d).orderBy("path", "line").collect()] == [("A", 1, 4), ("1 B", 2, 3), ("C", 3, 3), ("D", 4, 4)]
     assert sorted((x.col_idx, x.cell) for x in M.table_cells(d).collect()) == [(0, "x"), (1, "")]
     assert M.lines(d).where("path = 'empty.md'").count() == 1
+
+
+_SOME = ["| a | b |", "|-|-|", "|1|2|", "", "text", "# H", "## 2. Two", "### H", "```", "~~~ x", "~~~", "`a` [l](b.md)", "multiple assignment", "excerpt", "see [it](a.md) §1, §2", "as in it §4 and it §4", "x\r", "one\ntwo"]
+
+
+@pytest.mark.parametrize("size", [1, 3, 8])
+def test_pieces_are_the_whole(spark, size):
+    """A document in pieces has the parts of the whole one, and none of its rows holds more than some lines."""
+    draw = random.Random(size)
+    files = {f"{k}.md": [draw.choice(_SOME) for _ in range(draw.randint(1, 60))] for k in range(40)}
+    rows = [(p, n, x) for p, lines in files.items() for n, x in enumerate(lines)] + [("null.md", 0, None), ("0.md", -1, None)]
+    pieces = M.parsed_lines(spark.createDataFrame(rows, "path string, o long, line string"), size=size)
+    got = {}
+    for x in pieces.orderBy("path", "piece").collect():
+        assert len(x["lines"]) <= 3 * size + 6
+        for k in M.TYPES:
+            got.setdefault(x.path, {}).setdefault(k, []).extend(r.asDict(True) for r in x[k])
+    for path, lines in (files | {"null.md": [""]}).items():
+        want = M.parse_markdown("\n".join(lines))
+        for k in M.TYPES:
+            if k == "refs":  # equal texts share a row in a piece
+                flat = lambda rs: sorted((n, at, s, r["link_col"], r["one"], r["two"], r["foreign"]) for r in rs for n, at, s in zip(r["lines"], r["places"], r["sections"]))
+                assert flat(got[path][k]) == flat(want[k])
+            else:
+                assert sorted(got[path][k], key=repr) == sorted(want[k], key=repr), (path, k)
+    assert sorted(x.path for x in M.documents(pieces).collect()) == sorted([*files, "null.md"])
