@@ -128,7 +128,7 @@ def display_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three names of a target that are closest to one that it lacks."""
     docs = Q._linked(spark, sf_dir)
     whole, anchored = links.target_names(docs, links.document_names(docs))
-    rows = links.display_mismatch(links.displays(links.resolved(docs)), whole, anchored)
+    rows = links.display_mismatch(links.displays(stored(links.resolved(docs))), whole, anchored)
     return longs(rows.select("path", "line", F.explode("candidates").alias("c")).select("path", "line", "c.name", F.col("c.score").cast("double").alias("score")), "line")
 
 

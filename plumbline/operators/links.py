@@ -174,8 +174,8 @@ def display_mismatch(shown: DataFrame, whole: DataFrame, anchored: DataFrame, li
     b = rows.where("anchor IS NOT NULL").join(anchored.select(F.col("path").alias("target_path"), "anchor", "key", "name"), ["target_path", "anchor"])
     every = a.select(*keep, "key", "name").unionByName(b.select(*keep, "key", "name"))
     at = ["path", "line", "col"]
-    known = every.where("key = display_key").select(*at).distinct()
-    missed = every.join(known, at, "left_anti")
+    known = F.max(F.col("key") == F.col("display_key")).over(Window.partitionBy(*at))
+    missed = every.withColumn("known", known).where("NOT known")
     w = Window.partitionBy(*at).orderBy(F.col("score").desc(), "name")
     best = missed.withColumn("score", T.name_score(F.col("display_key"), F.col("key"))).withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
     top = F.transform(F.array_sort(F.collect_list(F.struct("n", "name", "score"))), lambda x: F.struct(x["name"].alias("name"), x["score"].alias("score")))

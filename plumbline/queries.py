@@ -466,7 +466,7 @@ def display_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Displayed names that the target lacks."""
     docs = _linked(spark, sf_dir)
     whole, anchored = links.target_names(docs, links.document_names(docs))
-    rows = links.display_mismatch(links.displays(links.resolved(docs)), whole, anchored)
+    rows = links.display_mismatch(links.displays(stored(links.resolved(docs))), whole, anchored)
     return longs(rows.select("path", "line", "display", "target_path"), "line")
 
 
@@ -481,7 +481,7 @@ def display_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def display_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names by which a target is called less often than by another."""
-    return links.display_variants(links.displays(links.resolved(_linked(spark, sf_dir)))).select("key", "tie", "variant", F.col("variant_count").cast("long").alias("variant_count"))
+    return links.display_variants(links.displays(stored(links.resolved(_linked(spark, sf_dir))))).select("key", "tie", "variant", F.col("variant_count").cast("long").alias("variant_count"))
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@ import json
 import pytest
 
 from plumbline.operators import concepts, decisions, links, ownership
+from plumbline.operators.markdown import parsed_lines
 from plumbline.sources.manifests import SourceError, manifest_entries
+from plumbline.sources.scratch import stored
 from tests.helpers import axis, codes, docs, places
 
 # == ownership
@@ -299,3 +301,32 @@ def test_chains_of_any_length(spark):
     rows = decisions.chains(spark.createDataFrame(records, "id string, status string, superseded_by string")).collect()
     assert {x.id: (x.chain, x.terminal) for x in rows} == chased(records)
     assert decisions.chains(spark.createDataFrame([], "id string, status string, superseded_by string")).count() == 0
+
+
+def test_chains_that_ended_are_left_alone(spark, monkeypatch):
+    """A step writes only the chains that were open, not all (whose nulls met in one task)."""
+    written = []
+    monkeypatch.setattr(decisions, "stored", lambda df: written.append(df.count()) or df)
+    records = [(f"a{k}", "superseded", f"a{k + 1}") for k in range(8)] + [("a8", "accepted", None)]
+    records += [(f"b{k}", "superseded", "a8") for k in range(50)]
+    rows = decisions.chains(spark.createDataFrame(records, "id string, status string, superseded_by string")).collect()
+    assert {x.id: (x.chain, x.terminal) for x in rows} == chased(records)
+    assert written[0] == 58 and written[1:] == [7, 6, 4]
+
+
+def test_links_over_pieces(spark):
+    """Links, names and references are the same over a document in pieces of any size."""
+    files = {"a.md": ["# A", "## 1. One", "| x | y |", "|-|-|", "| term | 1 |", "**bold** text", "## 2. Two", "end"], "b.md": []}
+    files["b.md"] = [x for k in range(30) for x in (f"[term](a.md) and [none {k % 3}](a.md) and [Two](a.md#2-two)", "see a §2", f"see [a](a.md) §{k % 4}", "plain §1", "[x](c.md) §1")]
+    rows = [(p, n, x) for p, lines in files.items() for n, x in enumerate(lines)]
+    pieces = stored(parsed_lines(spark.createDataFrame(rows, "path string, o long, line string"), size=4))
+    assert pieces.where("path = 'b.md'").count() > 10
+
+    def all_of(d):
+        r = links.resolved(d)
+        whole, anchored = links.target_names(d, links.document_names(d))
+        dead, up = links.dead_sections(links.section_targets(links.section_refs(d), r, links.registry(d), d))
+        return [sorted(map(repr, x.collect())) for x in (r.drop("frozen"), links.display_mismatch(links.displays(r), whole, anchored), links.display_variants(links.displays(r)), dead.select("path", "line", "pos", "section", "via"), up.drop("frozen"), links.registry(d))]
+
+    got, want = all_of(pieces), all_of(stored(docs(spark, {p: "\n".join(x) for p, x in files.items()})))
+    assert got == want and [len(x) for x in want[:2]] == [150, 30] and all(want)
