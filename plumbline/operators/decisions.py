@@ -128,22 +128,32 @@ def chains(decisions: DataFrame) -> DataFrame:
     """id, chain and terminal (a status, cycle or missing; unknown without a status) of
     each superseded decision. Of records with one id the last counts. Pointers are
     followed by doubling: chains of any length take the logarithm of it in steps, each
-    a join on ids, whose result is stored. A chain ends with the first id it meets again."""
+    a join on ids, whose result is stored. A chain ends with the first id it meets again.
+    What has ended is stored apart and joined only as what others run into: no row is
+    joined by a null, and each has its terminal from the step that ends it."""
     order = F.col("seq") if "seq" in decisions.columns else F.struct("status", "superseded_by")
     last = decisions.groupBy("id").agg(F.max_by(F.struct("status", "superseded_by"), order).alias("d")).select("id", "d.*")
-    walk = stored(last.where("superseded_by IS NOT NULL").select("id", F.array("id", "superseded_by").alias("chain"), (F.col("id") != F.col("superseded_by")).alias("open")))
-    while not walk.where("open").isEmpty():
-        # a closed chain that another runs into is added to that one as it is
-        onward = walk.select(F.col("id").alias("at"), F.col("chain").alias("more"))
-        met = walk.withColumn("at", F.when(F.col("open"), F.element_at("chain", -1))).join(onward, "at", "left")
-        whole = F.concat("chain", F.slice("more", F.lit(2), F.greatest(F.size("more") - 1, F.lit(0))))
-        grown = met.select("id", F.when(F.col("more").isNull(), F.col("chain")).otherwise(whole).alias("chain"), F.col("more").isNotNull().alias("open"))
-        fresh = F.size(F.array_distinct("chain"))
-        walk = stored(grown.select("id", F.slice("chain", F.lit(1), fresh + 1).alias("chain"), (F.col("open") & (fresh == F.size("chain"))).alias("open")))
-    end = last.select(F.col("id").alias("at"), F.coalesce("status", F.lit("unknown")).alias("stands"))
-    out = walk.withColumn("at", F.element_at("chain", -1)).join(end, "at", "left")
-    cycle = F.size(F.array_distinct("chain")) < F.size("chain")
-    return out.select("id", "chain", F.when(cycle, "cycle").otherwise(F.coalesce("stands", F.lit("missing"))).alias("terminal"))
+    to = last.select(F.col("id").alias("superseded_by"), F.coalesce("status", F.lit("unknown")).alias("stands"), F.col("superseded_by").isNotNull().alias("on"))
+    first = last.where("superseded_by IS NOT NULL").select("id", "superseded_by").join(to, "superseded_by", "left")
+    itself = F.col("id") == F.col("superseded_by")
+    ends = F.when(itself, "cycle").when(F.col("on"), None).otherwise(F.coalesce("stands", F.lit("missing")))
+    walk = stored(first.select("id", F.array("id", "superseded_by").alias("chain"), ends.alias("terminal")))
+    ended, walk = [walk.where("terminal IS NOT NULL")], walk.where("terminal IS NULL")
+    while not walk.isEmpty():
+        onward = walk
+        for e in ended:
+            onward = onward.unionByName(e)
+        onward = onward.select(F.col("id").alias("at"), F.col("chain").alias("more"), F.col("terminal").alias("stands"))
+        met = walk.select("id", "chain", F.element_at("chain", -1).alias("at")).join(onward, "at")
+        whole = F.concat("chain", F.slice("more", F.lit(2), F.size("more") - 1))
+        grown = met.select("id", whole.alias("chain"), "stands").withColumn("fresh", F.size(F.array_distinct("chain")))
+        cycle = F.col("fresh") < F.size("chain")
+        grown = stored(grown.select("id", F.slice("chain", F.lit(1), F.col("fresh") + 1).alias("chain"), F.when(cycle, "cycle").otherwise(F.col("stands")).alias("terminal")))
+        ended, walk = [*ended, grown.where("terminal IS NOT NULL")], grown.where("terminal IS NULL")
+    out = ended[0]
+    for e in ended[1:]:
+        out = out.unionByName(e)
+    return out.select("id", "chain", "terminal")
 
 
 # == designations
